@@ -208,3 +208,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held_out = fold(3) == 1
     model = train(docs, labels, ~held_out)
     return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def keep(docs: DataFrame, model: Model | float) -> DataFrame:
+    """The rows of docs, all columns, whose text is good (score >= 0.5)."""
+    held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        model = held.value
+        for batch in batches:
+            for part in slices(batch):
+                texts = part.column(at).to_pylist()
+                scores = np.full(len(texts), model) if isinstance(model, float) else 1 / (1 + np.exp(-model.logits(np.array([features(t or "") for t in texts]))))
+                yield part.filter(pa.array(scores >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -196,3 +196,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(least, "root").select("fp", "component_id")
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component, all columns: that of the least doc_id, of rows that share it the one with the least text hash.
+
+    Rows without a doc_id stay if no row of their component has one, one of each text.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, radius)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_fp")).distinct()
+    rows = docs.join(kept.select("_kept").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    # an id should occur once; where it repeats, pre-aggregated hashes pick one row
+    names = docs.columns
+    return rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_h")).agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("_row")).select("_row.*")
