@@ -1,0 +1,4 @@
+"""Queries over the driver's tables, with their SQL for DuckDB."""
+
+QUERIES = {}
+ORACLE_SQL = {}
