@@ -24,7 +24,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions, slices, text_column
@@ -56,16 +56,17 @@ def fingerprint_of_words(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, extra: Column | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and extra, a long to carry along, of every row."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
                 fp = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), part.column(2)], ["doc_id", "fp", "extra"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(run, "doc_id long, fp long")
+    extra = F.lit(None) if extra is None else extra
+    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text"), extra.cast("long").alias("extra")).mapInArrow(run, "doc_id long, fp long, extra long")
 
 
 def _fixed_first(code: str, block: int, bits: int) -> list[tuple[int, object]]:
@@ -183,11 +184,11 @@ def trie_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return nodes.repartition(n, "node", "sub").sortWithinPartitions("node", "sub", "code").select("node", "sub", "code", "fp").mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of docs. radius: 2 at most."""
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT, extra: Column | None = None) -> DataFrame:
+    """doc_id, fingerprint, component_id (and extra, if given) of every row of docs. radius: 2 at most."""
     if not 0 <= radius <= 2:
         raise ValueError("the six tries hold all pairs up to a radius of 2")
-    prints = materialize(fingerprints(docs, shingle), "fingerprints")
+    prints = materialize(fingerprints(docs, shingle, extra), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(trie_links(trie_nodes(distinct.select("fp"), hot), radius), "links")
     # a component is known by its least fingerprint until the least document of it is found
@@ -195,7 +196,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     linked = materialize(linked, "roots")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(least, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    carried = ["extra"] if extra is not None else []
+    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried)
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -203,9 +205,10 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> D
 
     Rows without a doc_id stay if no row of their component has one, one of each text.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, radius)
-    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept"), F.col("fingerprint").alias("_fp")).distinct()
-    rows = docs.join(kept.select("_kept").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    # an id should occur once; where it repeats, pre-aggregated hashes pick one row
     names = docs.columns
-    return rows.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("_h")).agg(F.min_by(F.struct(*names), F.xxhash64("text")).alias("_row")).select("_row.*")
+    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64(text_column()))
+    found = near_duplicates(keyed.select("doc_id", "text"), shingle, radius, extra=F.xxhash64(text_column()))
+    # rows of the least id in their component, and of those with one id the least text hash
+    least = found.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("extra")).alias("own")).agg(F.min("extra").alias("_h"))
+    kept = least.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), "_h")
+    return keyed.join(kept, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*names)
