@@ -9,6 +9,7 @@ from .functions.text import estimate_tokens, fold_term, preview
 from .operators import assemble, merge, recall
 from .operators.evaluate import EvalCase, eval_results, recall_at_k
 from .operators.search import Filters, search_batch
+from .plans.scratch import materialize
 from .plans.store import SCHEMA
 from .sources.tabular import conversation_messages, document_segments, event_messages
 
@@ -197,6 +198,7 @@ def _loaded(spark, d, *versions):
     rows = spark.createDataFrame([], SCHEMA)
     for v in versions:
         rows, actions = merge.upsert(rows, _segments(spark, d, **v).drop("id"))
+        rows = materialize(rows, "segments")
     return rows, actions
 
 

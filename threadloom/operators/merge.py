@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 KEYS = ("source", "conv_uuid")
 ACTIONS = "arrival long, action string, retired array<long>, retired_new array<long>"
 
@@ -65,15 +67,17 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
 
 def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(the new table, the actions). stored: segments with id, active, superseded_by; incoming: segments with arrival."""
-    actions = decide(incoming, stored.where("active"))
+    incoming = materialize(incoming, "incoming")
+    actions = materialize(decide(incoming, stored.where("active")), "actions")
     base = stored.agg(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long").alias("b")).first().b
     fresh = incoming.join(actions.where("action <> 'skipped'").select("arrival"), "arrival", "left_semi")
-    ids = numbered(fresh.select("arrival"), "_n", "arrival").select("arrival", (F.col("_n") + base).cast("long").alias("id"))
+    ids = materialize(numbered(fresh.select("arrival"), "_n", "arrival").select("arrival", (F.col("_n") + base).cast("long").alias("id")), "ids")
     retired = actions.join(ids, "arrival").select(F.col("id").alias("_by"), "retired", "retired_new")
     old = retired.select(F.explode("retired").alias("id"), "_by")
     within = retired.select(F.explode("retired_new").alias("arrival"), "_by").join(ids, "arrival").select("id", "_by")
-    added = fresh.join(ids, "arrival").drop("arrival").withColumn("active", F.lit(True)).withColumn("superseded_by", F.lit(None).cast("long"))
-    rows = stored.unionByName(added, allowMissingColumns=True).join(old.unionByName(within), "id", "left")
+    gone = materialize(old.unionByName(within), "retired")
+    added = incoming.join(ids, "arrival").drop("arrival").withColumn("active", F.lit(True)).withColumn("superseded_by", F.lit(None).cast("long"))
+    rows = stored.unionByName(added, allowMissingColumns=True).join(gone, "id", "left")
     out = rows.withColumn("active", F.col("active") & F.col("_by").isNull()).withColumn("superseded_by", F.coalesce("superseded_by", "_by")).drop("_by")
     return out, actions
 

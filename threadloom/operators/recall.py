@@ -73,18 +73,18 @@ def windows(hits: DataFrame, segments: DataFrame, budget: int = BUDGET, radius:
     w = F.struct("rank", "turn_id", "turn_ids", "cost", "block", "short_block")
     per = near.groupBy("query_id").agg(F.sort_array(F.collect_list(w)).alias("w"))
     start = F.struct(
-        F.lit(START_COST).alias("used"), F.lit(0).alias("packed"), F.lit(False).alias("over"), F.array().cast("array<string>").alias("covered"), F.array().cast("array<string>").alias("states")
+        F.lit(START_COST).alias("used"), F.lit(0).alias("packed"), F.lit(False).alias("ended"), F.array().cast("array<string>").alias("covered"), F.array().cast("array<string>").alias("states")
     )
 
     def step(acc, x):
         covered = F.array_contains(acc.covered, x.turn_id)
-        fits = ~acc.over & (acc.used + x.cost <= budget)
-        trim = ~acc.over & ~fits & (acc.packed == 0)
+        fits = ~acc.ended & (acc.used + x.cost <= budget)
+        trim = ~acc.ended & ~fits & (acc.packed == 0)
         state = F.when(covered, "covered").when(fits, "packed").when(trim, "trimmed").otherwise("skipped")
         return F.struct(
             F.when(~covered & fits, acc.used + x.cost).otherwise(acc.used).alias("used"),
             F.when(~covered & (fits | trim), acc.packed + 1).otherwise(acc.packed).alias("packed"),
-            (acc.over | (~covered & trim)).alias("over"),
+            (acc.ended | (~covered & trim)).alias("ended"),
             F.when(covered, acc.covered).otherwise(F.array_union(acc.covered, x.turn_ids)).alias("covered"),
             F.concat(acc.states, F.array(state)).alias("states"),
         )
