@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import drop_path, materialize, scratch_dir
+
+__all__ = ["drop_path", "materialize", "scratch_dir"]
+
 #: Texts handed to Python code at once, in bytes; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -19,53 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    It is only made up where the setting is missing and everything runs on one
-    machine, as in tests; a cluster without the setting is an error.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(sc, "_threadloom_scratch", None)
-    if not found:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="threadloom-")
-        sc._threadloom_scratch = found
-    return found
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def materialize(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: later steps
-    don't recompute it, and a lost executor doesn't lose it."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    if not _written:
-        atexit.register(_clear)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session may have ended before
-            return
-
-
 def fold(n: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo n. A null key counts as empty text."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % n
