@@ -59,13 +59,10 @@ class Store:
         names = self._manifests()
         if not names:
             return self.spark.createDataFrame([], SCHEMA)
-        found = self.spark.read.parquet(f"{self.path}/{names[-1].split('_')[1]}")
-        # columns that older snapshots lack
-        for c, kind in (x.split(" ", 1) for x in SCHEMA.split(", ")):
-            if c not in found.columns:
-                fill = {"source_id": F.col("conv_uuid"), "ts_start": F.col("ts"), "ts_end": F.col("ts")}.get(c, F.lit(None))
-                found = found.withColumn(c, fill.cast(kind))
-        return found
+        # columns that older snapshots lack are null, and these follow from others
+        found = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{names[-1].split('_')[1]}")
+        fill = {"source_id": "conv_uuid", "ts_start": "ts", "ts_end": "ts"}
+        return found.withColumns({c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(other)) for c, other in fill.items()})
 
     def commit(self, rows: DataFrame) -> None:
         name = f"snapshot-{uuid.uuid4().hex}"
