@@ -4,7 +4,8 @@ A document's ids and its end id are cut into pieces of ``size`` at most. Pieces
 groups of about ``group`` (so a task's work is bounded, and a group leaves about one sequence less than
 full); each group is packed best-fit by falling length. Then sequences that aren't full are emptied, the
 least filled first: a piece moves to another sequence, is exchanged for a shorter one, or two are exchanged for one, each step
-raising the sum of squared fills, until the sequence is empty or no step is left. The search ends
+raising the sum of squared fills, until the sequence is empty or no step is left; where the
+sequence itself allows none, steps between other underfull ones make room. The search ends
 at the group's lower bound, or once ``TRIES`` sequences in a row can't be emptied; every piece is placed either way.
 
 Defined results: a null or empty text is its end id alone; null and repeated doc_ids and repeated rows are packed row
@@ -27,7 +28,8 @@ from .tokens import encoder
 
 SIZE = 2048
 GROUP = 16_384
-TRIES = 8
+#: Effort of the search: sequences in a row that can't be emptied, steps for each, and other sequences that a step may leave.
+TRIES, STEPS, NEAR = 8, 50, 8
 END = 0
 
 
@@ -72,8 +74,13 @@ def improve(lengths: np.ndarray, bins: list[list[int]], size: int, tries: int =
             break
         k = int(min(open_, key=lambda b: (fill[b], b)))
         kept = at.copy(), fill.copy()
-        while fill[k] and _step(lengths, at, fill, k, size):
-            pass
+        for _ in range(STEPS):
+            if not fill[k]:
+                break
+            # steps out of the bin itself, else between others that leave one of them more space
+            near = sorted((b for b in np.flatnonzero((fill > 0) & (fill < size)).tolist() if b != k), key=lambda b: (fill[b], b))
+            if not any(_step(lengths, at, fill, b, size) for b in (k, *near[:NEAR])):
+                break
         if fill[k]:
             at, fill = kept  # exchanges that don't empty the bin are undone: they'd only crumble others' space
             given_up.add(k)
