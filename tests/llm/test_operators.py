@@ -99,7 +99,7 @@ def test_simhash_is_brute_force(spark):
     ids = [None if i == 1 else i for i in range(len(texts))]
     prints = [fingerprint(t) for t in texts]
     assert got == {(i, f"{p:016x}", c) for i, p, c in zip(ids, prints, reachable(prints, ids))}
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, wide=False)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for c in reachable(prints, ids)}
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
@@ -125,6 +125,50 @@ def test_trie_join_finds_every_link(spark, hot):
     assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
+def test_wide_walk_is_brute_force():
+    rng = np.random.default_rng(5)
+    centers = rng.integers(0, 2**63, (12, 2), dtype=np.uint64)
+    rows = []
+    for c in centers:
+        for _ in range(40):
+            a, b = (int(x) for x in c)
+            for bit in rng.integers(0, 48, 9):
+                a ^= 1 << int(bit)
+            for bit in rng.integers(0, 64, 12):
+                b ^= 1 << int(bit)
+            rows.append((int(centers[0][0]) >> 48 << 48 | a & (1 << 48) - 1, b))
+    a, b = (np.array(x, np.uint64) for x in zip(*sorted(set(rows))))
+    start, end = np.array([0, 100]), np.array([100, len(a)])
+    label = simhash.joined(a, b, start, end, 48, simhash.WIDE_RADIUS, simhash.WIDE_TOTAL)
+    want = list(range(len(a)))
+    for lo, hi in zip(start, end):
+        for i in range(lo, hi):
+            for j in range(i):
+                x, y = int(a[i] ^ a[j]).bit_count(), int(b[i] ^ b[j]).bit_count()
+                if j >= lo and x <= simhash.WIDE_RADIUS and x + y <= simhash.WIDE_TOTAL and want[i] != want[j]:
+                    want = [min(want[i], want[j]) if w in (want[i], want[j]) else w for w in want]
+    assert label.tolist() == want and len(set(want)) < len(a) / 2
+
+
+@pytest.mark.parametrize("hot", [7, 20_000])
+def test_near_copies_of_long_texts(spark, hot):
+    rng = np.random.default_rng(8)
+    clean = [" ".join(f"v{int(x)}" for x in rng.integers(0, 3000, 200)) for _ in range(150)]
+    copies = []
+    for i in range(60):
+        w = clean[i].split()
+        for at in rng.integers(0, 200, 4):
+            w[at] = "other" + str(at)
+        copies.append(" ".join(w))
+    docs = documents(spark, [*clean, *copies], 10)
+    of = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, hot=hot, wide=True).collect()}
+    caught = sum(of[10 + 150 + i] == of.get(10 + i, of[10 + 150 + i]) for i in range(60))
+    assert caught >= 54 and len({of[i] for i in of if i is not None and i < 160}) == 149
+    order = simhash._orders()[3]
+    x = rng.integers(0, 2**63, 50, dtype=np.uint64)
+    assert (simhash.reordered(simhash.reordered(x, order), order, True) == x).all()
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (7, 7), (None, 3)], "u long, v long")
     got = {r.node: r.component for r in components.components(edges).collect()}
