@@ -31,8 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the least id stays; of rows that repeat this id, one."""
-    return simhash.keep_one(docs.select(*COLUMNS))
+    """Of each group of near-duplicates, near copies of long texts included, the document of the least id stays; of rows that repeat this id, one."""
+    return simhash.keep_one(docs.select(*COLUMNS), wide=True)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
