@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize, slices, text_column
 
-STATES, SYMBOLS, KNOWN, RUN, ROUNDS = 8, 16_384, 1 << 20, 64, 5
+STATES, SYMBOLS, KNOWN, RUN, ROUNDS = 8, 16_384, 1 << 18, 64, 5
 #: Pseudo-counts by which a state's words lean on all states' words, and of each transition.
 PRIOR, STEP_PRIOR = 200.0, 1.0
 END = b" "  # no word holds a blank
@@ -90,8 +90,10 @@ def _summed(parts):
 
 def commonest(counts: DataFrame, symbols: int = SYMBOLS, known: int = KNOWN) -> Words:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(known).toPandas().sort_values(["n", "h"], ascending=[False, True])
-    h, n = top["h"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
+    top = counts.orderBy(F.desc("n"), "h").limit(known).toArrow()
+    h, n = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
+    order = np.lexsort((h, -n))
+    h, n = h[order], n[order]
     symbol = np.ones(len(h), np.int64)
     plain = np.flatnonzero(h != _end)[:symbols]
     symbol[plain] = np.arange(2, 2 + len(plain))
