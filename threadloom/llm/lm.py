@@ -8,8 +8,8 @@ symbol times its add-one share among rarer words. Baum-Welch runs over runs of
 summed by blocks of symbols, first by groups of partitions; the model itself has a bounded size. A whole text's likelihood is
 exact: each run gives the scaled forward vectors from every state before it, and these are chained.
 
-Counts of the ``KNOWN`` commonest words are broadcast (a bound of 12 bytes each); the rest of the
-corpus's words meet their counts in a join.
+Counts of at most ``KNOWN`` words are broadcast (a bound of 24 bytes each), all that occur more often than
+some number; the rest of the corpus's words meet their counts in a join.
 
 Defined results: a null or empty text is its end token alone; null and repeated doc_ids are scored row by row, and a null id
 falls into the fold of the empty text; with no training rows N and V are 0, the base score is 0 and the model uniform; no rows
@@ -90,7 +90,15 @@ def _summed(parts):
 
 def commonest(counts: DataFrame, symbols: int = SYMBOLS, known: int = KNOWN) -> Words:
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(known).toArrow()
+    # a histogram of at most some thousand classes finds the least count that is still known: no task sorts all words
+    kind = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.floor(F.log2("n") * 64) + 384).cast("long")
+    sizes = {r.kind: r["count"] for r in counts.groupBy(kind.alias("kind")).count().collect()}
+    least, held = max(sizes, default=0) + 1, 0
+    for k in sorted(sizes, reverse=True):
+        if (held := held + sizes[k]) > known:
+            break
+        least = k
+    top = counts.where(kind >= least).select("h", "n").toArrow()
     h, n = (top.column(c).to_numpy().astype(np.int64) for c in ("h", "n"))
     order = np.lexsort((h, -n))
     h, n = h[order], n[order]
