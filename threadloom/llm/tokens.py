@@ -12,10 +12,9 @@ import json
 import os
 import re
 import struct
-from itertools import chain
 
-#: Pieces kept; the cache starts anew beyond that.
-CACHE = 400_000
+#: Pieces kept; a cache starts anew with the next slice of texts beyond that.
+CACHE = 800_000
 _other_space = re.compile(r"[^\S \n]").search
 _with_space = re.compile(r"[ \n]*[^ \n]+|[ \n]+").findall
 _plain = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#$%&*]*)").fullmatch
@@ -34,6 +33,21 @@ def _spelt(s: str) -> str:
     return s.encode().decode("latin-1").translate(_LETTERS)
 
 
+class _Filled(dict):
+    """A dict that makes up its missing values."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
+class _OtherSpace(Exception):
+    """A piece holds white space that may be joined with its neighbours'."""
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,7 +64,10 @@ class Encoder:
                 self.kind = "bytes"
             elif model.get("end_of_word_suffix") == "</w>" and [x.get("type") for x in (spec.get("normalizer") or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
                 self.kind = "words"
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Filled(self._piece)
+        self.marks = _Filled(lambda marks: self._packed(self.merge(marks)))
+        #: Pieces without their blank; those that begin with a newline have none.
+        self.after_blank = _Filled(lambda piece: self._piece(piece if piece[:1] == "\n" else " " + piece))
         if self.kind:
             # the same model without the library's own cache, which costs more than it saves behind this one
             merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
@@ -63,26 +80,29 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         if self.kind == "bytes" and piece[:1] == " " and piece.isascii() and piece[1:].isalpha():
-            ids = [t.id for t in self.merge("Ġ" + piece[1:])]
-            return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+            return self._packed(self.merge("Ġ" + piece[1:]))
         if not piece:
             return b""
         m = _plain(piece)
         if not m:
+            if self.kind == "bytes" and _other_space(piece):
+                raise _OtherSpace
             return self._whole(piece)
         space, word, end = m.groups()
         if end:
             # word and marks are merged apart, and the word is often known
-            known = self.cache.get(space + word)
-            marks = [t.id for t in self.merge(end)]
-            return (self._piece(space + word) if known is None else known) + struct.pack(f"<{len(marks)}I", *marks)
+            return (self.after_blank[word] if space == " " else self.cache[space + word]) + self.marks[end]
         if self.kind == "words":
             word = word.lower()
         if not word.isascii():
             word = _spelt(word)
         parts = [word] if self.kind == "words" or not space else ["Ġ" + word] if space == " " else ["Ċ", word]
-        ids = [t.id for part in parts for t in self.merge(part)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join([self._packed(self.merge(part)) for part in parts])
+
+    @staticmethod
+    def _packed(tokens) -> bytes:
+        ids = [t.id for t in tokens]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -91,21 +111,24 @@ class Encoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         if not self.kind:
             return [self._whole(x) for x in texts]
-        odd = [self.kind == "bytes" and bool(_other_space(x)) for x in texts]
-        if self.kind == "bytes":
-            pieces = [[] if o else _with_space(x) for x, o in zip(texts, odd)]
-        else:
-            pieces = [x.replace("\n", " ").split(" ") for x in texts]
-        wanted = set(chain.from_iterable(pieces))
-        cache = self.cache
-        new = wanted.difference(cache)
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = wanted
-        for p in new:
-            cache[p] = self._piece(p)
-        get = cache.__getitem__
-        return [self._whole(x) if o else b"".join(map(get, own)) for x, o, own in zip(texts, odd, pieces)]
+        for kept in (self.cache, self.after_blank, self.marks):
+            if len(kept) > CACHE:
+                kept.clear()
+        return [self._words(x) if self.kind == "words" else self._bytes(x) for x in texts]
+
+    def _words(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+
+    def _bytes(self, text: str) -> bytes:
+        get = self.cache.__getitem__
+        try:
+            if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+                return b"".join(map(get, _with_space(text)))
+            # single blanks and newlines: a piece that begins with neither follows a blank
+            first, *rest = text.replace("\n", " \n").split(" ")
+            return get(first) + b"".join(map(self.after_blank.__getitem__, rest))
+        except _OtherSpace:
+            return self._whole(text)
 
 
 _encoders: dict[str, Encoder] = {}
