@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,6 +44,27 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(at)
 
 
+def by_node(links, others, columns: int):
+    """A mapInArrow function that calls links with whole nodes. others: places of rows that aren't of the last row's node."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            new = [batch.column(i).to_numpy() for i in range(columns)]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            if not len(held[0]):
+                continue
+            last = others(held)
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield links(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held is not None and len(held[0]):
+            yield links(*held)
+
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

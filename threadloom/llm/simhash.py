@@ -34,7 +34,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions, slices, text_column
+from . import nearcopies
+from .common import by_node, materialize, shuffle_partitions, slices, text_column
 from .components import components
 
 SHINGLE = 3
@@ -164,27 +165,6 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _by_node(links, others, columns: int):
-    """A mapInArrow function that calls links with whole nodes. others: places of rows that aren't of the last row's node."""
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            new = [batch.column(i).to_numpy() for i in range(columns)]
-            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if not len(held[0]):
-                continue
-            last = others(held)
-            cut = last[-1] + 1 if len(last) else 0
-            if cut:
-                yield links(*(x[:cut] for x in held))
-                held = [x[cut:] for x in held]
-        if held is not None and len(held[0]):
-            yield links(*held)
-
-    return run
-
-
 def trie_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """u, v: a spanning forest of the links within each node."""
 
@@ -199,7 +179,7 @@ def trie_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
         linked = np.flatnonzero(label != np.arange(len(node)))
         return pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[label[linked]])], ["u", "v"])
 
-    run = _by_node(links, lambda x: np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1])), 4)
+    run = by_node(links, lambda x: np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1])), 4)
     n = shuffle_partitions(nodes.sparkSession)
     return nodes.repartition(n, "node", "sub").sortWithinPartitions("node", "sub", "code").select("node", "sub", "code", "fp").mapInArrow(run, "u long, v long")
 
@@ -313,7 +293,7 @@ def wide_links(nodes: DataFrame) -> DataFrame:
             u[own], v[own] = reordered(code[at[own]], order, True), reordered(code[label[at[own]]], order, True)
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-    run = _by_node(links, lambda x: np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1])), 4)
+    run = by_node(links, lambda x: np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1])), 4)
     n = shuffle_partitions(nodes.sparkSession)
     return nodes.repartition(n, "node", "pair").sortWithinPartitions("node", "pair", "code").mapInArrow(run, "u long, v long")
 
@@ -340,13 +320,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: bool = True) -> DataFrame:
-    """One row of docs for each component, all columns: that of the least doc_id, of rows that share it the one with the least text hash.
+    """One row of docs for each component (wide: of texts with a five-word-shingle similarity of 0.8 or more, else of fingerprints within radius), all columns: that of the least doc_id, of rows that share it the one with the least text hash.
 
     Rows without a doc_id stay if no row of their component has one, one of each text.
     """
     names = docs.columns
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64(text_column()))
-    found = near_duplicates(keyed.select("doc_id", "text"), shingle, radius, extra=F.xxhash64(text_column()), wide=wide)
+    if wide:
+        own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_h").alias("extra"))
+        rooted = own.join(nearcopies.roots(docs, text_column()).withColumnRenamed("h", "extra"), "extra", "left").withColumn("root", F.coalesce("root", "extra"))
+        ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+        found = rooted.join(ids, "root").select("doc_id", "component_id", "extra")
+    else:
+        found = near_duplicates(keyed.select("doc_id", "text"), shingle, radius, extra=F.xxhash64(text_column()))
     # rows of the least id in their component, and of those with one id the least text hash
     least = found.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("extra")).alias("own")).agg(F.min("extra").alias("_h"))
     kept = least.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), "_h")
