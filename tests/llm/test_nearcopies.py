@@ -63,3 +63,11 @@ def test_unlike_texts_do_not_link(spark):
     texts = [" ".join(base), " ".join(edited(rng, base, 8))]
     assert 0.5 < similarity(*texts) < 0.8
     assert kept_ids(spark, texts) == {0, 1}
+
+
+@pytest.mark.parametrize("wide", [True, False])
+def test_each_component_keeps_a_row(spark, wide):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(7, a), (9, a), (7, b), (12, b), (None, c), (None, c)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(7, a), (7, b), (0, c)])

@@ -300,6 +300,15 @@ def wide_links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT, extra: Column | None = None, wide: bool = False) -> DataFrame:
     """doc_id, fingerprint, component_id (and extra, if given) of every row of docs. radius: 2 at most; wide: near copies of longer texts link, too."""
+    prints, linked = _rooted(docs, shingle, radius, hot, extra, wide)
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = linked.join(least, "root").select("fp", "component_id")
+    carried = ["extra"] if extra is not None else []
+    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried)
+
+
+def _rooted(docs: DataFrame, shingle: int, radius: int, hot: int, extra: Column | None, wide: bool) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows; and fp, least (doc_id) and root (least fingerprint of the component) of each fingerprint."""
     if not 0 <= radius <= 2:
         raise ValueError("the six tries hold all pairs up to a radius of 2")
     prints = materialize(fingerprints(docs, shingle, extra, wide), "fingerprints")
@@ -312,28 +321,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     found = components(links, "links")
     # a component is known by its least fingerprint until the least document of it is found
     linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    linked = materialize(linked, "roots")
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.join(least, "root").select("fp", "component_id")
-    carried = ["extra"] if extra is not None else []
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried)
+    return prints, materialize(linked, "roots")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: bool = True) -> DataFrame:
     """One row of docs for each component (wide: of texts with a five-word-shingle similarity of 0.8 or more, else of fingerprints within radius), all columns: that of the least doc_id, of rows that share it the one with the least text hash.
 
-    Rows without a doc_id stay if no row of their component has one, one of each text.
+    Of a component without any doc_id the row with the least text hash stays.
     """
     names = docs.columns
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64(text_column()))
+    own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_h")
     if wide:
-        own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_h").alias("extra"))
-        rooted = own.join(nearcopies.roots(docs, text_column()).withColumnRenamed("h", "extra"), "extra", "left").withColumn("root", F.coalesce("root", "extra"))
-        ids = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        found = rooted.join(ids, "root").select("doc_id", "component_id", "extra")
+        found = nearcopies.roots(docs, text_column()).withColumnRenamed("h", "_h")
+        rooted = own.groupBy("_h").agg(F.min("doc_id").alias("doc_id")).join(found, "_h", "left").select("doc_id", "_h", F.coalesce("root", "_h").alias("root"))
     else:
-        found = near_duplicates(keyed.select("doc_id", "text"), shingle, radius, extra=F.xxhash64(text_column()))
-    # rows of the least id in their component, and of those with one id the least text hash
-    least = found.where("doc_id <=> component_id").groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("extra")).alias("own")).agg(F.min("extra").alias("_h"))
-    kept = least.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_d"), "_h")
+        prints, linked = _rooted(docs, shingle, radius, HOT, F.xxhash64(text_column()), False)
+        rooted = prints.join(linked.select("fp", "root"), "fp").select("doc_id", F.col("extra").alias("_h"), "root")
+    # by component, as one doc_id may stand on rows of several
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x"))
+    kept = least.select(F.coalesce("x.doc_id", F.lit(-(2**63))).alias("_d"), "x._h")
     return keyed.join(kept, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*names)
