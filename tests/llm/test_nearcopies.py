@@ -71,3 +71,11 @@ def test_each_component_keeps_a_row(spark, wide):
     rows = [(7, a), (9, a), (7, b), (12, b), (None, c), (None, c)]
     kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(7, a), (7, b), (0, c)])
+
+
+def test_short_near_copies_link(spark):
+    texts = []
+    for k, (n, more) in enumerate([(20, 2), (18, 1), (12, 1), (23, 0)]):
+        base = [f"s{k}x{i}" for i in range(n)]
+        texts += [" ".join(base), " ".join([*base, *(f"tail{i}" for i in range(more))] if more else [*base[:-1], "last"])]
+    assert kept_ids(spark, texts) == {0, 2, 4, 6}
