@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.scratch import drop_path, materialize, scratch_dir
@@ -73,8 +73,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """(doc_id, text, label) of at most per_class labelled documents of each class, and
     (positive, all) counts of usable labels.
 
-    Those of the smallest hash of doc_id are taken, one row for each id, as long as the
-    class's texts stay within class_chars characters. Rows with a null id or label don't
+    Those of the smallest hash of doc_id are taken, one row for each id. In this order a row is left out
+    if with it the class's texts exceeded class_chars characters; a long text so costs only itself. Rows with a null id or label don't
     count; of several labels for an id the largest holds.
     """
     own = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & usable).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(label) > 0).cast("int").alias("label"))
@@ -85,6 +85,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     # at most 2 * per_class rows of two numbers: a bounded broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text")).join(F.broadcast(picked), "doc_id")
     texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    within = Window.partitionBy("label").orderBy(*order)
-    sized = texts.withColumn("chars", F.sum(F.length("text")).over(within)).where(F.col("chars") <= class_chars)
-    return sized.drop("chars"), (int(r.p or 0), int(r.n))
+    texts = materialize(texts, "sample")
+    # two numbers for each of at most 2 * per_class rows
+    fitting, used = [], [0, 0]
+    for row in texts.orderBy(*order).select("doc_id", "label", F.length("text").alias("chars")).collect():
+        if used[row.label] + row.chars <= class_chars:
+            used[row.label] += row.chars
+            fitting.append((row.doc_id,))
+    sized = texts.join(F.broadcast(docs.sparkSession.createDataFrame(fitting, "doc_id long")), "doc_id", "left_semi")
+    return sized, (int(r.p or 0), int(r.n))

@@ -11,7 +11,7 @@ class, those of the smallest hash; every document is scored, whole.
 Defined results: a null or empty text is scored like any other, by features that are all
 zero; null ids and repeated rows are scored row by row; null labels or ids in ``labels``
 are ignored, and of several labels for an id the largest holds; with one class only (or no
-labels) every score is that class's share (0 without any). Other columns are ignored.
+labels) every score is the share of good rows among all labelled ones (0 without any). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -128,7 +128,7 @@ def _tree2(g: np.ndarray, h: np.ndarray, depth: int = 3) -> np.ndarray:
 def fit(x: np.ndarray, y: np.ndarray, share: float | None = None) -> Model | float:
     """share: of positive rows among all labelled ones, where rows are a sample by class."""
     if len(x) == 0 or y.min() == y.max():
-        return float(y.mean()) if len(y) else 0.0
+        return float(share if share is not None else y.mean() if len(y) else 0.0)
     share = y.mean() if share is None else min(max(share, 1e-3), 1 - 1e-3)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     model = Model(float(np.log(share / (1 - share))), [_edges(c, BINS) for c in x.T], [], [], [_edges(c, PAIR_BINS) for c in x.T], [])

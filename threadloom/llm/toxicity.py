@@ -16,8 +16,8 @@ each class, those of the smallest hash. Every document is scored, whole.
 Defined results: a null or empty text, or one without words, gets the score of no evidence;
 null ids and repeated rows are scored row by row; rows with null labels or null ids in
 ``labels`` are ignored; a document labelled twice counts as toxic if any label says so;
-without toxic or without ordinary training rows every score is the share of toxic
-training rows (0 without any). Other columns are ignored.
+without toxic or without ordinary training rows every score is the share of toxic rows
+among all labelled ones (0 without any). Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def fit(rows: list[tuple[str, int, int]], share: float | None = None) -> Model |
     share: of toxic rows among all labelled ones, where rows are a sample by class."""
     texts = [[t for t, y, f in rows if bool(y) is kind and not f] for kind in (True, False)]
     if not all(texts):
-        return sum(y for _, y, _ in rows) / max(1, len(rows))
+        return share if share is not None else sum(y for _, y, _ in rows) / max(1, len(rows))
     number = {"": 0}
     found = [_contexts(x, number) for x in texts]
     n = len(number)
