@@ -2,7 +2,8 @@
 
 Texts are cut into sentences, the sentences normalised (lower case, runs of other
 characters than letters and digits as one space), and looked up among known licence
-sentences. The identifiers of a text's known sentences, in their order, are then matched
+sentences, by themselves and as runs of neighbours, so that a sentence is known however its lines are
+wrapped or marked as comments. A sentence within a longer known one doesn't count. The identifiers of a text's known sentences, in their order, are then matched
 against rules, each an ordered sequence of identifiers; the longest rule that begins at a
 sentence is taken. DataFrame and SQL functions only.
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_column
@@ -77,13 +78,28 @@ def scan(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence
     if len(known) > MAX_SENTENCES or len(rules) > MAX_SENTENCES:
         raise ValueError(f"more than {MAX_SENTENCES} sentences or rules")
     spark = docs.sparkSession
-    catalogue = spark.createDataFrame(list(known.items()), "id string, sentence string").select("id", normal(F.col("sentence")).alias("sentence"))
-    longest = max((len(s) for s in known.values()), default=0) * 2
+    catalogue = spark.createDataFrame(list(known.items()), "id string, sentence string").select("id", normal(F.col("sentence")).alias("known"))
+    catalogue = catalogue.withColumn("word", F.substring_index("known", " ", 1))
+    begin = sorted({r.word for r in catalogue.select("word").distinct().collect()})
+    # each part has a word, so that no known sentence has more parts
+    most = max((len(v.split()) + sum(not c.isalnum() for c in v) for v in known.values()), default=0) + 1
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    parts = own.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
-    # no known sentence is that long, however it is spaced or marked
-    parts = parts.where(F.length(F.regexp_replace("sentence", "[^A-Za-z0-9]+", " ")) <= longest).withColumn("sentence", normal(F.col("sentence")))
-    hits = parts.join(F.broadcast(catalogue), "sentence")
+    # bound once as a variable of the outer transform; "|" stands where a part ends
+    runs = lambda parts: F.filter(
+        F.transform(parts, lambda x, i: F.struct(i.alias("at"), F.when(F.substring_index(x, " ", 1).isin(begin), F.array_join(F.slice(parts, i + 1, F.lit(most)), "|")).alias("run"))),
+        lambda x: x["run"].isNotNull(),
+    )
+    found = F.transform(F.array(F.transform(sentences(F.col("text")), normal)), runs)[0]
+    parts = own.select("doc_id", F.xxhash64("text").alias("h"), F.inline(found))
+    parts = parts.withColumn("word", F.regexp_extract("run", "^[a-z0-9]+", 0))
+    size = F.length("known")
+    whole = F.translate("run", "|", " ").startswith(F.col("known")) & F.substring(F.col("run"), size + 1, F.lit(1)).isin("", "|")
+    hits = parts.join(F.broadcast(catalogue), "word").where(whole)
+    hits = hits.select("doc_id", "h", "at", "id", (F.col("at") + size - F.length(F.translate(F.substring(F.col("run"), F.lit(1), size), "|", ""))).alias("last")).distinct()
+    text = Window.partitionBy("doc_id", "h")
+    before = F.max("last").over(text.orderBy("at").rangeBetween(Window.unboundedPreceding, -1))
+    same = F.max("last").over(Window.partitionBy("doc_id", "h", "at"))
+    hits = hits.withColumn("before", before).withColumn("same", same).where("last = same and (before is null or before < last)")
     inorder = hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set(F.struct("at", "id"))).alias("ids"))
     table = spark.createDataFrame([(name, list(ids), ids[0], len(ids)) for name, ids in rules], "license string, rule array<string>, first string, n int")
     begun = inorder.select("doc_id", "h", "ids", F.posexplode("ids").alias("k", "s")).select("doc_id", "h", "ids", "k", "s.at", F.col("s.id").alias("first"))
