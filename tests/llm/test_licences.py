@@ -31,3 +31,11 @@ def test_wrapped_and_commented_notices(spark, mark):
     texts = ["\n".join(mark + line for line in t.split("\n")) for t in (GPL, APACHE)]
     rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license, r.sentence, r.sentences) for r in rows) == [(0, "GPL-3.0-or-later", 0, 3), (1, "Apache-2.0", 0, 4)]
+
+
+def test_common_licences(spark):
+    wanted = ["BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-or-later", "GPL-2.0-only", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "Unlicense", "EPL-2.0", "BSL-1.0", "Zlib", "CC0-1.0"]
+    rules = [next(ids for name, ids in licenses.RULES if name == x) for x in wanted]
+    texts = [".\n".join(licenses.SENTENCES[i] for i in ids) + "." for ids in rules] + ["// SPDX-License-Identifier: LGPL-2.1-only"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(rows, key=lambda r: r.doc_id)] == [*wanted, "LGPL-2.1-only"]

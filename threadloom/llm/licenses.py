@@ -41,6 +41,46 @@ SENTENCES: Mapping[str, str] = {
     "cc-by-notice": "Licensed under CC BY 4.0",
     "cc-by-sa-notice": "Licensed under CC BY-SA 4.0",
     "all-rights": "All rights reserved",
+    "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+    "mpl2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-only": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "epl2-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "bsl-grant": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "cc0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "spdx-apache-2.0": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-bsd-2-clause": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd-3-clause": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-zlib": "SPDX-License-Identifier: Zlib",
+    "spdx-bsl-1.0": "SPDX-License-Identifier: BSL-1.0",
+    "spdx-mpl-2.0": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-epl-2.0": "SPDX-License-Identifier: EPL-2.0",
+    "spdx-unlicense": "SPDX-License-Identifier: Unlicense",
+    "spdx-cc0-1.0": "SPDX-License-Identifier: CC0-1.0",
+    "spdx-gpl-2.0-only": "SPDX-License-Identifier: GPL-2.0-only",
+    "spdx-gpl-2.0-or-later": "SPDX-License-Identifier: GPL-2.0-or-later",
+    "spdx-gpl-3.0-only": "SPDX-License-Identifier: GPL-3.0-only",
+    "spdx-gpl-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later",
+    "spdx-lgpl-2.1-only": "SPDX-License-Identifier: LGPL-2.1-only",
+    "spdx-lgpl-2.1-or-later": "SPDX-License-Identifier: LGPL-2.1-or-later",
+    "spdx-lgpl-3.0-only": "SPDX-License-Identifier: LGPL-3.0-only",
+    "spdx-lgpl-3.0-or-later": "SPDX-License-Identifier: LGPL-3.0-or-later",
+    "spdx-agpl-3.0-only": "SPDX-License-Identifier: AGPL-3.0-only",
+    "spdx-agpl-3.0-or-later": "SPDX-License-Identifier: AGPL-3.0-or-later",
+    "spdx-cc-by-4.0": "SPDX-License-Identifier: CC-BY-4.0",
+    "spdx-cc-by-sa-4.0": "SPDX-License-Identifier: CC-BY-SA-4.0",
+    "spdx-cc-by-nc-4.0": "SPDX-License-Identifier: CC-BY-NC-4.0",
 }
 #: Licence, and the identifiers in order.
 RULES: Sequence[tuple[str, tuple[str, ...]]] = (
@@ -57,6 +97,44 @@ RULES: Sequence[tuple[str, tuple[str, ...]]] = (
     ("CC-BY-4.0", ("cc-by-notice",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-notice",)),
     ("Proprietary", ("all-rights",)),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("ISC", ("isc-grant",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("GPL-2.0-or-later", ("gpl2-free",)),
+    ("GPL-2.0-only", ("gpl2-only",)),
+    ("LGPL-2.1-or-later", ("lgpl21-free",)),
+    ("LGPL-3.0-or-later", ("lgpl3-free",)),
+    ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2-notice",)),
+    ("BSL-1.0", ("bsl-grant",)),
+    ("Zlib", ("zlib-grant",)),
+    ("CC0-1.0", ("cc0-notice",)),
+    ("Apache-2.0", ("spdx-apache-2.0",)),
+    ("MIT", ("spdx-mit",)),
+    ("BSD-2-Clause", ("spdx-bsd-2-clause",)),
+    ("BSD-3-Clause", ("spdx-bsd-3-clause",)),
+    ("ISC", ("spdx-isc",)),
+    ("Zlib", ("spdx-zlib",)),
+    ("BSL-1.0", ("spdx-bsl-1.0",)),
+    ("MPL-2.0", ("spdx-mpl-2.0",)),
+    ("EPL-2.0", ("spdx-epl-2.0",)),
+    ("Unlicense", ("spdx-unlicense",)),
+    ("CC0-1.0", ("spdx-cc0-1.0",)),
+    ("GPL-2.0-only", ("spdx-gpl-2.0-only",)),
+    ("GPL-2.0-or-later", ("spdx-gpl-2.0-or-later",)),
+    ("GPL-3.0-only", ("spdx-gpl-3.0-only",)),
+    ("GPL-3.0-or-later", ("spdx-gpl-3.0-or-later",)),
+    ("LGPL-2.1-only", ("spdx-lgpl-2.1-only",)),
+    ("LGPL-2.1-or-later", ("spdx-lgpl-2.1-or-later",)),
+    ("LGPL-3.0-only", ("spdx-lgpl-3.0-only",)),
+    ("LGPL-3.0-or-later", ("spdx-lgpl-3.0-or-later",)),
+    ("AGPL-3.0-only", ("spdx-agpl-3.0-only",)),
+    ("AGPL-3.0-or-later", ("spdx-agpl-3.0-or-later",)),
+    ("CC-BY-4.0", ("spdx-cc-by-4.0",)),
+    ("CC-BY-SA-4.0", ("spdx-cc-by-sa-4.0",)),
+    ("CC-BY-NC-4.0", ("spdx-cc-by-nc-4.0",)),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that goes on in lower case is one sentence with the line before.
