@@ -1,19 +1,25 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary text, count an expression by
-the distinct words seen before it, as Kneser-Ney continuation counts do, at both
-orders; a text that is copied a thousand times therefore counts little more than
-once. An expression with fewer than ``CUTOFF`` contexts in a class leaves its mass
-to the backoff distribution, which both classes share, so that a rare expression
-has the same probability under either. A document's evidence is the
-length-normalised difference of its words' log-likelihoods under the two models, with a
-dead zone for words that the two find about as likely; a logistic curve, fitted on
-training rows that the counts have not seen, turns it into a probability.
+Two bigram models, one of toxic and one of ordinary text, count an expression (a word, or a
+word after another) by the distinct words seen before it, as Kneser-Ney continuation counts do,
+at both orders; a text that is copied a thousand times therefore counts little more than once.
+Each class discounts its counts by ``DISCOUNT`` and gives what that leaves to the counts of both classes
+together. An expression whose counts don't tell the classes apart (it is rarer than ``CUTOFF``, or a
+likelihood-ratio test of its split between them stays below ``EVIDENCE``) has no probability of its own: all
+of these share the backoff distribution of the pooled counts, so that a rare expression's factor is the same under both models but for
+the mass that the others leave for them, which makes both models sum to one.
+
+A document's log-likelihoods under the two models, each divided by its length, are compared: their difference,
+of either sign, is ``Model.evidence``. Factors of the shared distribution are equal in both and cancel. A logistic curve over it, fitted
+on training rows that the counts haven't seen, turns it into a probability; both classes weigh the same there.
+Its middle, the score of 0.5, is where on those rows the share of toxic rows caught less ``LOSS`` times the share of ordinary rows
+lost is largest. So neither depends on how common toxic labels are.
 
 The classifier is fitted on a bounded sample: at most ``per_class`` labelled rows of
-each class, those of the smallest hash. Every document is scored, whole.
+each class, those of the smallest hash, and at most ``class_chars`` characters of each. They are counted on the cluster; the driver gets
+only expressions that occur ``CUTOFF`` times or more. Every document is scored, whole.
 
-Defined results: a null or empty text, or one without words, gets the score of no evidence;
+Defined results: a null or empty text, or one without words, has evidence 0 and is scored by the curve like any other;
 null ids and repeated rows are scored row by row; rows with null labels or null ids in
 ``labels`` are ignored; a document labelled twice counts as toxic if any label says so;
 without toxic or without ordinary training rows every score is the share of toxic rows
@@ -22,138 +28,203 @@ among all labelled ones (0 without any). Other columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, slices, text_column
+from .common import fold, labelled_sample, materialize, slices, text_column
 
 #: Bounds of the training sample: rows of each class, and characters of each class.
 PER_CLASS = 4000
 CLASS_CHARS = 24_000_000
-CUTOFF = 8
-DISCOUNT = 0.75
-#: Words whose likelihoods differ by a smaller factor bear no evidence: they tell of topic or language.
-DEAD_ZONE = 4
+CUTOFF, EVIDENCE, DISCOUNT = 4, 10.0, 0.75
+#: Counts of common expressions vary with topics more than by chance: the variance that the test takes is larger by n / SPREAD.
+SPREAD = 100
+#: For the threshold, a share of ordinary rows that is lost weighs so many times a share of toxic rows that is missed.
+LOSS = 4
+#: One training row in so many is for the curve.
+CURVE = 4
+#: Word hashes that a Python worker keeps at once.
+CACHE = 500_000
 words = re.compile(r"\w+").findall
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) - (1 << 63)
+
+
+#: What stands before a text's first word; no word is empty.
+START = word_hash("")
+
+
+@dataclass
+class Counts:
+    """Of the classes (toxic, ordinary): rows of what occurs CUTOFF times or more, and totals of all."""
+
+    word: np.ndarray  # sorted hashes
+    n: np.ndarray  # word, class
+    total: np.ndarray  # class
+    left: np.ndarray  # class: discounts of all words
+    before: np.ndarray  # of each pair, the hash of the first word,
+    after: np.ndarray  # and of the second
+    pairs: np.ndarray  # pair, class
+    pair_total: np.ndarray  # pair, class: of all pairs with this first word
+    pair_left: np.ndarray  # pair, class: and their discounts
+
+
 @dataclass
 class Model:
-    vocabulary: dict[str, int]
-    toxic: np.ndarray  # P(w) by word id; 0: words without evidence
-    ordinary: np.ndarray
-    toxic_left: np.ndarray  # backoff weight by id of the word before
-    ordinary_left: np.ndarray
-    pairs: np.ndarray  # sorted keys before * V + word
-    pair_toxic: np.ndarray
-    pair_ordinary: np.ndarray
-    weights: np.ndarray  # of the logistic curve
-
-    def evidence(self, text: str) -> tuple[float, int]:
-        found = words(text.lower())
-        if not found:
-            return 0.0, 0
-        ids = np.fromiter(map(self.vocabulary.get, found, _zeros()), np.int64, len(found))
-        before = np.concatenate(([0], ids[:-1]))
-        t = self.toxic[ids] * self.toxic_left[before]
-        o = self.ordinary[ids] * self.ordinary_left[before]
-        if len(self.pairs):
-            keys = before * len(self.toxic) + ids
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            hit = self.pairs[at] == keys
-            t = t + np.where(hit, self.pair_toxic[at], 0)
-            o = o + np.where(hit, self.pair_ordinary[at], 0)
-        return float(np.maximum(0, np.log(t / o) - math.log(DEAD_ZONE)).sum()), len(found)
-
-    def score(self, text: str) -> float:
-        return float(_sigmoid(_features(*self.evidence(text)) @ self.weights))
-
-
-def _zeros():
-    while True:
-        yield 0
+    """Logarithms of toxic over ordinary probabilities; factors that both share are left out."""
+
+    word: np.ndarray  # sorted hashes of words with probabilities of their own
+    single: np.ndarray  # by place in word, from 1; 0: all other words
+    context: dict[int, int]  # hash of a first word to its number, from 1
+    left: np.ndarray  # by this number: of words that don't make a pair with it, besides single; 0: other first words
+    second: dict[int, int]  # hash of a second word to its number, from 1
+    key: np.ndarray  # sorted: number of the first word * (len(second) + 1) + number of the second
+    pair: np.ndarray
+    weights: np.ndarray = field(default_factory=lambda: np.array([0.0, 1.0]))  # of the logistic curve
+
+    def evidence(self, hashes: np.ndarray) -> float:
+        """Difference of the length-normalised log-likelihoods of a text's words."""
+        if not len(hashes):
+            return 0.0
+        ids = np.zeros(len(hashes), np.int64)
+        if len(self.word):
+            at = np.minimum(np.searchsorted(self.word, hashes), len(self.word) - 1)
+            ids = np.where(self.word[at] == hashes, at + 1, 0)
+        total = self.single[ids]
+        if len(self.key):
+            before = np.fromiter(map(self.context.get, [START, *hashes[:-1].tolist()], repeat(0)), np.int64, len(hashes))
+            near = np.flatnonzero(before)
+            before = before[near]
+            key = before * (len(self.second) + 1) + np.fromiter(map(self.second.get, hashes[near].tolist(), repeat(0)), np.int64, len(near))
+            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+            total[near] = np.where(self.key[at] == key, self.pair[at], total[near] + self.left[before])
+        return float(total.sum() / len(hashes))
+
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return _sigmoid(np.stack((np.ones(len(evidence)), evidence), 1) @ self.weights)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _features(total: float, n: int) -> np.ndarray:
-    """One, the logarithm of evidence a word, and of evidence by the root of the length, in which chance has one scale at every length."""
-    n = max(n, 1)
-    return np.array([1.0, math.log1p(1000 * total / n), math.log1p(10 * total / math.sqrt(n))])
-
-
-def _contexts(texts: list[str], number: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words' ids by text order with two starts before each text; equal texts count once. number grows."""
-    w, v, u = [], [], []
-    for text in dict.fromkeys(texts):
-        ids = np.array([number.setdefault(x, len(number)) for x in words(text.lower())], np.int64)
-        w.append(ids)
-        v.append(np.concatenate(([0], ids[:-1]))[: len(ids)])
-        u.append(np.concatenate(([0, 0], ids[:-2]))[: len(ids)])
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return join(w), join(v), join(u)
-
-
-def fit(rows: list[tuple[str, int, int]], share: float | None = None) -> Model | float:
-    """rows: text, label, and whether the row fits the counts (0) or the curve (1).
-    share: of toxic rows among all labelled ones, where rows are a sample by class."""
-    texts = [[t for t, y, f in rows if bool(y) is kind and not f] for kind in (True, False)]
-    if not all(texts):
-        return share if share is not None else sum(y for _, y, _ in rows) / max(1, len(rows))
-    number = {"": 0}
-    found = [_contexts(x, number) for x in texts]
-    n = len(number)
-    ones, twos = [], []
-    for w, v, u in found:
-        pairs, place = np.unique(v * n + w, return_inverse=True)
-        ones.append(np.bincount(pairs % n, minlength=n))
-        triples = np.unique(u * max(1, len(pairs)) + place)
-        counts = np.bincount(triples % max(1, len(pairs)), minlength=len(pairs))
-        twos.append((pairs, counts))
-    pooled = ones[0] + ones[1]
-    known = np.flatnonzero(np.maximum(*ones) >= CUTOFF)
-    known = known[known > 0]
-    size = len(known) + 1
-    dense = np.zeros(n, np.int64)
-    dense[known] = np.arange(1, size)
-    names = list(number)
-    shared = np.concatenate(([1], pooled[known])) / (pooled.sum() + 1)
-    single, left, kept = [], [], []
-    for one, (pairs, counts) in zip(ones, twos):
-        total = max(1, one.sum())
-        own = np.concatenate(([0.0], np.where(one[known] >= CUTOFF, one[known] - DISCOUNT, 0.0))) / total
-        single.append(own + (1 - own.sum()) * shared)
-        v, w = pairs // n, pairs % n
-        seen = np.bincount(v, weights=counts, minlength=n)
-        k = (counts >= CUTOFF) & (dense[v] > 0) & (dense[w] > 0)
-        part = (counts[k] - DISCOUNT) / seen[v[k]]
-        kept.append((dense[v[k]] * size + dense[w[k]], part))
-        left.append(1 - np.bincount(dense[v[k]], weights=part, minlength=size))
-    keys = np.union1d(kept[0][0], kept[1][0])
-    values = []
-    for k, part in kept:
-        x = np.zeros(len(keys))
-        x[np.searchsorted(keys, k)] = part
-        values.append(x)
-    vocabulary = {names[i]: j for j, i in enumerate(known, 1)}
-    model = Model(vocabulary, single[0], single[1], left[0], left[1], keys, values[0], values[1], np.array([-4.0, 0.0, 4.0]))
-    curve = list({t: y for t, y, f in rows if f}.items())
-    if len({y for _, y in curve}) == 2:
-        x, y = np.array([_features(*model.evidence(t)) for t, _ in curve]), np.array([y for _, y in curve], float)
-        share = y.mean() if share is None else min(max(share, 1e-3), 1 - 1e-3)
-        model.weights = _logistic(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
-    return model
+def _test(n: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic, less by the spread, of counts of the two classes against a split in proportion to expected."""
+    split = n.sum(1, keepdims=True) * expected / np.maximum(expected.sum(1, keepdims=True), 1e-300)
+    return 2 * (n * np.log(np.where(n > 0, n, 1) / np.where(n > 0, np.maximum(split, 1e-300), 1))).sum(1) / (1 + n.sum(1) / SPREAD)
+
+
+def build(c: Counts, evidence: float = EVIDENCE) -> Model:
+    shared = c.n.sum(1) / c.total.sum()
+    own = (np.maximum(c.n - DISCOUNT, 0) + c.left * shared[:, None]) / c.total
+    tells = _test(c.n, c.total[None]) >= evidence
+    # what the words with their own probabilities leave goes to the shared distribution of the others
+    rest = (1 - own[tells].sum(0)) / (1 - shared[tells].sum())
+    alone = np.where(tells[:, None], own, rest * shared[:, None])
+    word, single = c.word[tells], np.concatenate((rest[None], own[tells]))
+    # pairs against what words alone make of them; a pair's second word is among those counted
+    alone = alone[np.searchsorted(c.word, c.after)]
+    tells = _test(c.pairs, c.pair_total * alone) >= evidence
+    first, after, alone, n, total = (x[tells] for x in (c.before, c.after, alone, c.pairs, c.pair_total))
+    pooled = n.sum(1, keepdims=True) / total.sum(1, keepdims=True)
+    q = np.where(total > 0, (np.maximum(n - DISCOUNT, 0) + c.pair_left[tells] * pooled) / np.maximum(total, 1), pooled)
+    contexts, number = np.unique(first, return_inverse=True)
+    mass = lambda x: 1 - np.stack([np.bincount(number, x[:, k], len(contexts)) for k in (0, 1)], 1)
+    left = np.concatenate((np.ones((1, 2)), np.maximum(mass(q), 1e-9) / np.maximum(mass(alone), 1e-9)))
+    seconds, place = np.unique(after, return_inverse=True)
+    key = (number + 1) * (len(seconds) + 1) + place + 1
+    order = np.argsort(key)
+    ratio = lambda x: np.log(x[:, 0] / x[:, 1])
+    numbers = lambda x: {h: i for i, h in enumerate(x.tolist(), 1)}
+    return Model(word, ratio(single), numbers(contexts), ratio(left), numbers(seconds), key[order], ratio(q)[order])
+
+
+def hashed(texts: list[str]) -> list[np.ndarray]:
+    """Hashes of each text's words; a word's is kept for the next."""
+    if len(_known) > CACHE:
+        _known.clear()
+    found = [words(t.lower()) for t in texts]
+    return [np.fromiter(map(_known.__getitem__, x), np.int64, len(x)) for x in found]
+
+
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        value = self[word] = word_hash(word)
+        return value
+
+
+_known = _Known()
+
+
+def count(rows: DataFrame) -> Counts:
+    """rows: text, label. Everything but the rows that Counts holds stays on the cluster."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                found = hashed(part.column(0).to_pylist())
+                sizes = [len(x) for x in found]
+                w = np.concatenate([*found, np.zeros(0, np.int64)])
+                v = np.concatenate([np.concatenate(([START], x[:-1])) for x in found if len(x)] or [w])
+                u = np.concatenate([np.concatenate(([START, START], x[:-2]))[: len(x)] for x in found if len(x)] or [w])
+                label = np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, w, label.astype(np.int32))], ["u", "v", "w", "label"])
+
+    kinds = ("t", "o")
+    triples = rows.select("text", "label").mapInArrow(run, "u long, v long, w long, label int").distinct()
+    pairs = materialize(triples.groupBy("v", "w").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")), "pairs")
+    singles = pairs.groupBy("w").agg(*(F.count_if(F.col(k) > 0).alias(k) for k in kinds))
+    discounts = [F.sum(F.least(F.col(k), F.lit(DISCOUNT))).alias(f"{k}_left") for k in kinds]
+    sums = singles.agg(*(F.sum(k).alias(k) for k in kinds), *discounts).first()
+    known = _columns(singles.where(F.col("t") + F.col("o") >= CUTOFF), "w")
+    common = pairs.where(F.col("t") + F.col("o") >= CUTOFF)
+    totals = pairs.groupBy("v").agg(*(F.sum(k).alias(f"{k}_total") for k in kinds), *discounts)
+    both = common.join(totals, "v").select("v", "w", "t", "o", "t_total", "o_total", "t_left", "o_left")
+    v, w, *values = _columns(both, "v", "w")
+    # a pair with enough contexts may have a second word with too few first ones
+    order = np.argsort(known[0])
+    known = [x[order] for x in known]
+    kept = np.isin(w, known[0])
+    two = lambda i: np.stack(values[i : i + 2], 1)[kept].astype(float)
+    return Counts(
+        known[0], np.stack(known[1:], 1).astype(float), np.maximum([sums.t or 0, sums.o or 0], 1).astype(float), np.array([sums.t_left or 0, sums.o_left or 0], float),
+        v[kept], w[kept], two(0), two(2), two(4),
+    )
+
+
+def _columns(df: DataFrame, *keys: str) -> list[np.ndarray]:
+    found = df.toArrow()
+    return [found.column(c).to_numpy() for c in (*keys, *(c for c in df.columns if c not in keys))]
+
+
+def curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the logistic curve for evidence x of rows of both classes y."""
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    slope = _logistic(x, y, weight)[1]
+    # between any two neighbours, the classes' shares above
+    order = np.argsort(x, kind="stable")
+    ends, label = x[order], y[order]
+    caught, lost = 1 - np.cumsum(label) / label.sum(), 1 - np.cumsum(1 - label) / (1 - label).sum()
+    gap = np.diff(ends)
+    gain = np.where(gap > 0, (caught - LOSS * lost)[:-1], -np.inf)
+    if not len(gap) or gain.max() <= 0 or slope <= 0:
+        return _logistic(x, y, weight)
+    best = np.flatnonzero(gain >= gain.max() - 1e-9)
+    k = best[gap[best].argmax()]
+    return np.array([-slope * (ends[k] + ends[k + 1]) / 2, slope])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+    x = np.stack((np.ones(len(x)), x), 1)
     b = np.zeros(x.shape[1])
     loss = lambda b: float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ b)) + ridge * b @ b / 2)
     for _ in range(60):
@@ -170,25 +241,43 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = PER_CLASS, class_chars: int = CLASS_CHARS) -> Model | float:
     """usable: condition on doc_id; labels of other rows are never read."""
-    sample, totals = labelled_sample(docs, labels, "toxic", usable, per_class, class_chars)
-    rows = sample.select("text", "label", (F.pmod(F.xxhash64("text"), F.lit(4)) == 0).cast("int").alias("curve")).collect()
-    positive, n = totals
-    return fit(sorted((r.text, r.label, r.curve) for r in rows), positive / n if n else None)
+    sample, (positive, n) = labelled_sample(docs, labels, "toxic", usable, per_class, class_chars)
+    # equal texts fall on the same side
+    of_curve = F.pmod(F.xxhash64("text"), F.lit(CURVE)) == 0
+    have = sample.where(~of_curve).agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")).first()
+    if not have.t or not have.o:
+        return positive / n if n else 0.0
+    model = build(count(sample.where(~of_curve)))
+    seen = _mapped(sample.where(of_curve).select("label", "text"), model, "label int", lambda x: x).collect()  # two numbers for each of at most 2 * per_class rows
+    y, x = np.array([r.label for r in seen], float), np.array([r.score for r in seen], float)
+    if 0 < y.sum() < len(y):
+        model.weights = curve(x, y)
+    return model
 
 
-def score(docs: DataFrame, model: Model | float) -> DataFrame:
-    """doc_id, score, predicted for every row of docs."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+def _scores(model: Model | float, texts: list[str]) -> np.ndarray:
+    """Evidence of each text, or the constant."""
+    return np.full(len(texts), model) if isinstance(model, float) else np.array([model.evidence(x) for x in hashed(texts)])
+
+
+def _mapped(rows: DataFrame, model: Model | float, first: str, then) -> DataFrame:
+    """The first of two columns (declared by first), and score, which then makes of the second's evidence."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    name = first.split()[0]
 
     def run(batches):
-        model = held.value
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(1).to_pylist()
-                scores = np.full(len(texts), model) if isinstance(model, float) else np.array([model.score(t) for t in texts])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array((scores >= 0.5).astype("int32"))], ["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(then(_scores(held.value, part.column(1).to_pylist())), pa.float64())], [name, "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return rows.mapInArrow(run, f"{first}, score double")
+
+
+def score(docs: DataFrame, model: Model | float) -> DataFrame:
+    """doc_id, score, predicted for every row of docs."""
+    own = docs.select(F.col("doc_id").cast("long"), text_column().alias("text"))
+    then = (lambda x: x) if isinstance(model, float) else model.score
+    return _mapped(own, model, "doc_id long", then).select("doc_id", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -206,8 +295,7 @@ def keep(docs: DataFrame, model: Model | float) -> DataFrame:
         model = held.value
         for batch in batches:
             for part in slices(batch):
-                texts = part.column(at).to_pylist()
-                scores = np.full(len(texts), model) if isinstance(model, float) else np.array([model.score(t or "") for t in texts])
-                yield part.filter(pa.array(scores < 0.5))
+                found = _scores(model, [t or "" for t in part.column(at).to_pylist()])
+                yield part.filter(pa.array((found if isinstance(model, float) else model.score(found)) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
