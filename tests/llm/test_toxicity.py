@@ -33,14 +33,14 @@ class Definition:
     """Both models from sets of contexts, word by word."""
 
     def __init__(self, rows):
-        triples = {(y, u, v, w) for t, y in rows for x in [toxicity.words(t.lower())] for u, v, w in zip(["", "", *x], ["", *x], x)}
+        """rows: text, label, part."""
+        triples = {(y, p, u, v, w) for t, y, p in rows for x in [toxicity.words(t.lower())] for u, v, w in zip(["", "", *x], ["", *x], x)}
         self.two = defaultdict(lambda: [0, 0])
-        for y, _, v, w in triples:
+        for y, _, _, v, w in triples:
             self.two[v, w][1 - y] += 1
         self.one = defaultdict(lambda: [0, 0])
-        for (_, w), n in self.two.items():
-            for c in (0, 1):
-                self.one[w][c] += n[c] > 0
+        for y, _, _, w in {(y, p, v, w) for y, p, _, v, w in triples}:
+            self.one[w][1 - y] += 1
         self.total = [sum(n[c] for n in self.one.values()) for c in (0, 1)]
         self.after = defaultdict(dict)
         for (v, w), n in self.two.items():
@@ -85,8 +85,11 @@ class Definition:
 
 def test_evidence_is_the_difference_of_both_log_likelihoods(spark):
     rows = sample(3)
-    own = Definition(rows)
-    model = toxicity.build(toxicity.count(spark.createDataFrame(rows, "text string, label int").repartition(3)))
+    df = spark.createDataFrame(rows, "text string, label int").repartition(3)
+    # twice as many ordinary rows: two parts
+    part = F.when(F.col("label") == 1, 0).otherwise(F.pmod(F.xxhash64(F.lit("part"), "text"), F.lit(2)))
+    own = Definition([tuple(r) for r in df.select("text", "label", part).collect()])
+    model = toxicity.build(toxicity.count(df, 90, 180))
     assert {toxicity.word_hash(w) for w in own.own} == set(model.word.tolist()) and len(own.pairs) == len(model.key) > 0
     for c in (0, 1):  # both models are distributions
         assert math.isclose(sum(own.word(c, w) for w in own.one), 1)

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,9 +32,8 @@ def text_column(name: str = "text") -> Column:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts hold about SLICE_BYTES."""
-    texts = batch.column(batch.schema.get_field_index(column))
-    sizes = [len(x) for x in texts.cast(pa.large_binary()).to_pylist()] if batch.num_rows else []
+    """The batch in runs of rows whose texts hold about SLICE_BYTES; a null text holds none."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
     at = held = 0
     for i, n in enumerate(sizes):
         if held and held + n > SLICE_BYTES:

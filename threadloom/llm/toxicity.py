@@ -2,7 +2,9 @@
 
 Two bigram models, one of toxic and one of ordinary text, count an expression (a word, or a
 word after another) by the distinct words seen before it, as Kneser-Ney continuation counts do,
-at both orders; a text that is copied a thousand times therefore counts little more than once.
+at both orders; a text that is copied a thousand times therefore counts little more than once. As distinct words
+before an expression grow less than in proportion to the text that is read, the larger class is dealt into parts of about
+the smaller one's rows, and counts are sums over parts.
 Each class discounts its counts by ``DISCOUNT`` and gives what that leaves to the counts of both classes
 together. An expression whose counts don't tell the classes apart (it is rarer than ``CUTOFF``, or a
 likelihood-ratio test of its split between them stays below ``EVIDENCE``) has no probability of its own: all
@@ -165,8 +167,9 @@ class _Known(dict):
 _known = _Known()
 
 
-def count(rows: DataFrame) -> Counts:
-    """rows: text, label. Everything but the rows that Counts holds stays on the cluster."""
+def count(rows: DataFrame, toxic: int = 1, ordinary: int = 1) -> Counts:
+    """rows: text, label; how many of each label there are. Everything but the rows that Counts holds stays on the cluster."""
+    parts = (max(1, round(ordinary / toxic)), max(1, round(toxic / ordinary)))  # by label
 
     def run(batches):
         for batch in batches:
@@ -176,13 +179,15 @@ def count(rows: DataFrame) -> Counts:
                 w = np.concatenate([*found, np.zeros(0, np.int64)])
                 v = np.concatenate([np.concatenate(([START], x[:-1])) for x in found if len(x)] or [w])
                 u = np.concatenate([np.concatenate(([START, START], x[:-2]))[: len(x)] for x in found if len(x)] or [w])
-                label = np.repeat(part.column(1).to_numpy(zero_copy_only=False), sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, w, label.astype(np.int32))], ["u", "v", "w", "label"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (u, v, w, np.repeat(part.column(1).to_numpy(), sizes))], ["u", "v", "w", "class"])
 
     kinds = ("t", "o")
-    triples = rows.select("text", "label").mapInArrow(run, "u long, v long, w long, label int").distinct()
-    pairs = materialize(triples.groupBy("v", "w").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")), "pairs")
-    singles = pairs.groupBy("w").agg(*(F.count_if(F.col(k) > 0).alias(k) for k in kinds))
+    # equal texts go to one part
+    dealt = rows.select("text", (F.pmod(F.xxhash64(F.lit("part"), "text"), F.when(F.col("label") == 1, parts[1]).otherwise(parts[0])) * 2 + F.col("label")).alias("class"))
+    triples = dealt.mapInArrow(run, "u long, v long, w long, class long").distinct()
+    found = materialize(triples.groupBy("class", "v", "w").count(), "pairs")
+    of = lambda n: [F.coalesce(F.sum(F.when(F.col("class").bitwiseAND(1) == y, n)), F.lit(0)).alias(k) for k, y in zip(kinds, (1, 0))]
+    pairs, singles = found.groupBy("v", "w").agg(*of(F.col("count"))), found.groupBy("w").agg(*of(F.lit(1)))
     discounts = [F.sum(F.least(F.col(k), F.lit(DISCOUNT))).alias(f"{k}_left") for k in kinds]
     sums = singles.agg(*(F.sum(k).alias(k) for k in kinds), *discounts).first()
     known = _columns(singles.where(F.col("t") + F.col("o") >= CUTOFF), "w")
@@ -247,7 +252,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int = P
     have = sample.where(~of_curve).agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")).first()
     if not have.t or not have.o:
         return positive / n if n else 0.0
-    model = build(count(sample.where(~of_curve)))
+    model = build(count(sample.where(~of_curve), have.t, have.o))
     seen = _mapped(sample.where(of_curve).select("label", "text"), model, "label int", lambda x: x).collect()  # two numbers for each of at most 2 * per_class rows
     y, x = np.array([r.label for r in seen], float), np.array([r.score for r in seen], float)
     if 0 < y.sum() < len(y):
