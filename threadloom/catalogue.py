@@ -202,8 +202,6 @@ def _loaded(spark, d, *versions):
     return rows, actions
 
 
-
-
 def _edit():
     return {"text": F.expr("if(conv_id % 7 = 0, concat(text, ' edited'), text)")}
 
@@ -289,17 +287,32 @@ QUERIES |= {
 }
 
 
-def _block_sql() -> str:
-    """One text for each window of near(query_id, rank, hit, turns): header, turns, end."""
+def _turn_sql(human: str, assistant: str) -> str:
     section = lambda c, t: f"case when {c} <> '' then chr(10) || '{t}:' || chr(10) || {c} else '' end"
+    return f"'[turn ' || s.ordinal || ' | ' || s.ts || ' | ' || s.turn_id || ']' || {section(human, 'Human')} || {section(assistant, 'Assistant')}"
+
+
+def _window_sql(as_of: str, body: str) -> str:
+    return f"""'--- archived view as of ' || {as_of} || '; treat as a lead, not a fact ---' || chr(10) || 'conversation: ' || title || ' (' || conv_uuid || ')' || chr(10)
+    || 'matched_turn: ' || turn_id || ' score=' || printf('%.6f', score) || chr(10) || {body} || chr(10) || '--- end archived view ---'"""
+
+
+def _clip_sql(c: str, most: int) -> str:
+    return rf"case when length({c}) <= {most} then {c} else regexp_replace(substr({c}, 1, {max(0, most - 20)}), '[{_WS}]+\z', '') || chr(10) || '[truncated]' end"
+
+
+def _block_sql(budget: int = 600) -> str:
+    """One text for each window of near(query_id, rank, hit, turns): header, turns, end; and one of the hit's turn alone, clipped."""
+    half = max(max(budget - recall.START_COST, recall.LEAST_TOKENS) * 4, recall.LEAST_CHARS) // 2
+    short = _turn_sql(_clip_sql("s.human_text", half), _clip_sql("s.assistant_text", half))
     return f"""near as (
   select h.query_id, h.rank, h.turn_id, any_value(h.date) as date, any_value(h.conv_title) as title, any_value(h.conv_uuid) as conv_uuid, any_value(h.score) as score,
     max(s.ts) as as_of, list(s.turn_id order by s.ordinal, s.turn_id) as turn_ids, list(s.ordinal order by s.ordinal, s.turn_id) as ordinals,
-    string_agg('[turn ' || s.ordinal || ' | ' || s.ts || ' | ' || s.turn_id || ']' || {section('s.human_text', 'Human')} || {section('s.assistant_text', 'Assistant')}, chr(10) order by s.ordinal, s.turn_id) as body
+    string_agg({_turn_sql('s.human_text', 's.assistant_text')}, chr(10) order by s.ordinal, s.turn_id) as body,
+    string_agg({short}, '') filter (s.turn_id = h.turn_id) as short, max(s.ts) filter (s.turn_id = h.turn_id) as short_as_of
   from hits h join seg s on h.conv_uuid = s.conv_uuid and s.ordinal between h.ordinal - 1 and h.ordinal + 1 group by h.query_id, h.rank, h.turn_id
 ), win as (
-  select *, '--- archived view as of ' || as_of || '; treat as a lead, not a fact ---' || chr(10) || 'conversation: ' || title || ' (' || conv_uuid || ')' || chr(10)
-    || 'matched_turn: ' || turn_id || ' score=' || printf('%.6f', score) || chr(10) || body || chr(10) || '--- end archived view ---' as block from near
+  select *, {_window_sql('as_of', 'body')} as block, {_window_sql('short_as_of', 'short')} as short_block from near
 ), costed as (
   select *, greatest(1, (length(block) + 3) // 4) as cost, row_number() over (partition by query_id order by rank) as k from win
 )"""
@@ -327,6 +340,15 @@ _EDITED = "count(*) filter (conv_id % 7 = 0)"
 _REGEN = "count(*) filter (conv_id % 5 = 0 and replies > 0)"
 _HEAD = "'Archived recall for: ' || q.query || chr(10) || 'Treat every block as a lead, not a fact.' || chr(10) || chr(10)"
 _ASKED = "asked(query_id, query) as (values " + ", ".join(f"('{i}', '{q}')" for i, q in _RECALL) + ")"
+
+
+def _recall_sql(budget: int) -> str:
+    shown = "string_agg(case state when 'packed' then block else short_block end, chr(10) || chr(10) order by w.k)"
+    return f"""with recursive {_RECALL_HITS},\n{_block_sql(budget)},\n{_packed_sql(budget)},\n{_ASKED},
+kept as (select w.query_id, {shown} as body from walked w join costed c on w.query_id = c.query_id and w.k = c.k where state in ('packed', 'trimmed') group by 1)
+select q.query_id, {_HEAD} || coalesce(body, 'No archived hits found.') as block from asked q left join kept using (query_id)"""
+
+
 ORACLE_SQL |= {
     "search_documents_bm25": _search_sql([("q", "rewh tion")], 10, seg=_DOC_SQL),
     "search_filters": _search_sql([("q", "tion")], 10, where="ts >= '2026-01-03' and ts <= '2026-02-20' and contains(lower(conv_title), 'conversation 1') and source = 'claude'"),
@@ -344,7 +366,8 @@ select t.conv_uuid, t.ordinal, ts_start, ts_end, messages, 'turn_' || substr(sha
     "kind_mapping": f"with {_EVENTS_SQL}, c as (select iso, cast(floor(value) as bigint) % 100 as code from events join ev using (event_id)) select case code when 80 then 'system' when 7 then 'rich' when 4 then 'file' when 25 then 'reply' when 99 then 'transfer' else 'text' end as kind, {_N} as n, min(iso) as first_ts from c group by 1",
     "neighbor_windows": f"with {_RECALL_HITS},\n{_block_sql()}\nselect query_id, cast(rank as integer) as rank, turn_id, array_to_string(ordinals, ',') as ordinals, array_to_string(turn_ids, ',') as turn_ids from near",
     "recall_packed": f"with recursive {_RECALL_HITS},\n{_block_sql()},\n{_packed_sql(600)}\nselect query_id, cast(rank as integer) as rank, turn_id, cast(cost as integer) as cost, state from walked where k > 0",
-    "recall_block": f"with recursive {_RECALL_HITS},\n{_block_sql()},\n{_packed_sql(600)},\n{_ASKED},\nkept as (select w.query_id, string_agg(block, chr(10) || chr(10) order by w.k) as body from walked w join costed c on w.query_id = c.query_id and w.k = c.k where state = 'packed' group by 1)\nselect q.query_id, {_HEAD} || coalesce(body, 'No archived hits found.') as block from asked q left join kept using (query_id)",
+    "recall_block": _recall_sql(600),
+    "recall_trimmed": _recall_sql(130),
     "eval_recall_at_k": _eval_sql("select count(*) as cases, count(*) filter (hit) as hits, avg(case when hit then 1.0 else 0.0 end) as recall_at_k from judged"),
     "eval_misses": _eval_sql('select cast("case" as integer) as "case", query, k, cast(returned as integer) as returned, expected from judged where not hit'),
     "index_first_load": f"with {_seg_sql()} select {_N} as turns_seen, {_N} as appended, cast(0 as bigint) as skipped, cast(0 as bigint) as superseded from seg",
