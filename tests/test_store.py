@@ -40,13 +40,14 @@ def test_load_reload_edit(spark, tmp_path):
     again = index_source(spark, tmp_path / "x", index)
     assert (again.appended, again.skipped, again.superseded) == (0, 4, 0)
     store = Store(spark, index)
+    assert store.manifest().number == 0  # a load without changes commits nothing
     assert [r.turn_id for r in search(store.segments(), "lighthouse").collect()]
     assert search(store.segments(), "AI").count() == 1 and search(store.segments(), "信仰").count() == 1 and search(store.segments(), "AI model").count() == 1
     assert search(store.segments(), "block", role="human").count() == 1 and search(store.segments(), "block", role="assistant").count() == 0
     edited = index_source(spark, write(tmp_path / "x", archive("a windmill")), index)
     assert (edited.superseded, edited.skipped) == (1, 3)
     s = store.status()
-    assert (s["schema_version"], s["total_turns"], s["active_turns"], s["superseded_turns"], s["conversations"], s["sources"]) == ("2", 5, 4, 1, 2, 1)
+    assert (s["schema_version"], s["rows_total"], s["active_turns"], s["superseded_turns"], s["conversations"], s["sources"]) == ("2", 5, 4, 1, 2, 1)
     assert search(store.segments(), "lighthouse").count() == 0
     block = rehearse(store.segments(), "windmill", token_budget=500)
     assert block.startswith("Archived recall for: windmill\n") and "[turn 0 |" in block and "[turn 1 |" in block
@@ -93,7 +94,12 @@ def test_eval_cases(tmp_path):
     assert [c.k for c in load_eval_cases(p)] == [None, 3]
     p.write_text("")
     assert load_eval_cases(p) == []
-    for bad in ({"query": ""}, {"query": "x"}, {"query": "x", "expected_turn_id": "t", "k": 0}):
+    p = tmp_path / "c.JSONL"  # any case; a case may expect nothing
+    p.write_text('{"query": "x", "expected_turn_ids": []}\n\n{"query": "y", "expected_turn_id": ""}\n')
+    assert [c.expected_turn_ids for c in load_eval_cases(p)] == [(), ("",)]
+    (tmp_path / "c.json").write_text('[{"query": "x", "expected_turn_ids": ["a", "b"], "k": true}]')
+    assert load_eval_cases(tmp_path / "c.json")[0].k == 1
+    for bad in ({"query": ""}, {"query": "x"}, {"query": "x", "expected_turn_id": "t", "k": 0}, {"query": "x", "expected_turn_ids": None, "expected_turn_id": "t"}, {"query": "x", "expected_turn_ids": [1]}, [], {"query": "x", "expected_turn_id": "t", "k": 1.5}):
         p.write_text(json.dumps(bad) + "\n")
         with pytest.raises(ValueError):
             load_eval_cases(p)

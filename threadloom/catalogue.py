@@ -211,7 +211,13 @@ def _regenerated():
 
 
 def _counts(*versions):
-    return lambda spark, d: merge.action_counts(_loaded(spark, d, *(v() for v in versions))[1])
+    def run(spark, d):
+        """The last load's actions; what it would write isn't needed."""
+        *before, last = (v() for v in versions)
+        stored = _loaded(spark, d, *before)[0] if before else spark.createDataFrame([], SCHEMA)
+        return merge.action_counts(merge.decide(materialize(_segments(spark, d, **last), "incoming"), stored.where("active")))
+
+    return run
 
 
 def status_summary(spark, d):
@@ -374,7 +380,7 @@ select t.conv_uuid, t.ordinal, ts_start, ts_end, messages, 'turn_' || substr(sha
     "index_reload_noop": f"with {_seg_sql()} select {_N} as turns_seen, cast(0 as bigint) as appended, {_N} as skipped, cast(0 as bigint) as superseded from seg",
     "index_supersede_edit": f"with {_seg_sql()} select {_N} as turns_seen, cast(0 as bigint) as appended, {_N} - {_EDITED} as skipped, {_EDITED} as superseded from seg",
     "index_supersede_overlap": f"with {_seg_sql()} select {_N} as turns_seen, {_REGEN.replace('replies > 0', 'replies = messages')} as appended, {_N} - {_REGEN} as skipped, {_REGEN.replace('replies > 0', 'replies > 0 and replies < messages')} as superseded from seg",
-    "status_summary": f"with {_seg_sql()} select {_N} + {_EDITED} as total_turns, {_N} as active_turns, {_EDITED} as superseded_turns, count(distinct conv_uuid) as conversations, cast(1 as bigint) as sources from seg",
+    "status_summary": f"with {_seg_sql()} select {_N} + {_EDITED} as rows_total, {_N} as active_turns, {_EDITED} as superseded_turns, count(distinct conv_uuid) as conversations, cast(1 as bigint) as sources from seg",
     "supersede_lineage": f"with {_seg_sql()} select turn_id, turn_id as new_turn_id, true as new_active, true as changed, true as later from seg where conv_id % 7 = 0",
     "supersede_regenerated": f"""with {_seg_sql()}, again as (select conv_id, ordinal, 'turn_' || substr(sha256('[' || string_agg('["' || conv_uuid || '","' || case when sender = 'assistant' then 'x' else 'm' end || pos || '"]', ',' order by pos) || ']'), 1, 24) as new_turn_id from placed group by all)
 select conv_uuid, seg.ordinal, turn_id, new_turn_id, true as new_active from seg join again on seg.conv_id = again.conv_id and seg.ordinal = again.ordinal where seg.conv_id % 5 = 0 and replies > 0 and replies < messages""",

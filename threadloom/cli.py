@@ -1,4 +1,4 @@
-"""Command line: index, search, rehearse, eval, status."""
+"""Command line: index, search, rehearse, eval, status, serve."""
 
 from __future__ import annotations
 
@@ -43,6 +43,8 @@ def _parser() -> argparse.ArgumentParser:
     x.add_argument("cases", type=Path)
     x.add_argument("--k", type=int, default=10)
     sub.add_parser("status")
+    x = sub.add_parser("serve", help="offer search and recall as tools")
+    x.add_argument("--transport", choices=["stdio", "sse", "streamable-http"], default="stdio")
     return p
 
 
@@ -69,6 +71,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(json.dumps(stats_dict(stats), ensure_ascii=False, indent=2), f"source: {adapter.name}", f"index: {index}", sep="\n")
         return 0
     spark = spark or _session()
+    if a.command == "serve":
+        from .server import create_server
+
+        create_server(spark, index).run(transport=a.transport)
+        return 0
     given = {k: getattr(a, k) for k in ("limit", "after", "before", "role", "conv") if hasattr(a, k)}
     if a.command == "search":
         if a.json:

@@ -65,21 +65,27 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     return dealt.join(F.broadcast(first), "_p").withColumn(name, F.col("_first") + F.col("_m") - F.col("_least")).drop("_p", "_m", "_least", "_first")
 
 
-def upsert(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the new table, the actions). stored: segments with id, active, superseded_by; incoming: segments with arrival."""
+def upsert(stored: DataFrame, incoming: DataFrame, first_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the new table, the actions). stored: segments with id, active, superseded_by; incoming: segments with arrival.
+    New rows are numbered from first_id, else from after the largest id."""
     incoming = materialize(incoming, "incoming")
     actions = materialize(decide(incoming, stored.where("active")), "actions")
-    base = stored.agg(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long").alias("b")).first().b
-    fresh = incoming.join(actions.where("action <> 'skipped'").select("arrival"), "arrival", "left_semi")
-    ids = materialize(numbered(fresh.select("arrival"), "_n", "arrival").select("arrival", (F.col("_n") + base).cast("long").alias("id")), "ids")
-    retired = actions.join(ids, "arrival").select(F.col("id").alias("_by"), "retired", "retired_new")
+    return apply(stored, incoming, actions, first_id), actions
+
+
+def apply(stored: DataFrame, incoming: DataFrame, actions: DataFrame, first_id: int | None = None) -> DataFrame:
+    """stored after the actions that decide() found for incoming."""
+    base = stored.agg(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long").alias("b")).first().b if first_id is None else first_id
+    fresh = actions.where("action <> 'skipped'").select("arrival", "retired", "retired_new")
+    fresh = materialize(numbered(fresh, "_n", "arrival").select("arrival", (F.col("_n") + base).cast("long").alias("id"), "retired", "retired_new"), "ids")
+    ids = fresh.select("arrival", "id")
+    retired = fresh.select(F.col("id").alias("_by"), "retired", "retired_new")
     old = retired.select(F.explode("retired").alias("id"), "_by")
     within = retired.select(F.explode("retired_new").alias("arrival"), "_by").join(ids, "arrival").select("id", "_by")
-    gone = materialize(old.unionByName(within), "retired")
+    gone = old.unionByName(within)
     added = incoming.join(ids, "arrival").drop("arrival").withColumn("active", F.lit(True)).withColumn("superseded_by", F.lit(None).cast("long"))
     rows = stored.unionByName(added, allowMissingColumns=True).join(gone, "id", "left")
-    out = rows.withColumn("active", F.col("active") & F.col("_by").isNull()).withColumn("superseded_by", F.coalesce("superseded_by", "_by")).drop("_by")
-    return out, actions
+    return rows.withColumn("active", F.col("active") & F.col("_by").isNull()).withColumn("superseded_by", F.coalesce("superseded_by", "_by")).drop("_by")
 
 
 def action_counts(actions: DataFrame) -> DataFrame:
@@ -90,7 +96,7 @@ def action_counts(actions: DataFrame) -> DataFrame:
 def status(segments: DataFrame) -> DataFrame:
     """One row of counts over all rows, retired ones included."""
     return segments.agg(
-        F.count("*").alias("total_turns"),
+        F.count("*").alias("rows_total"),
         F.count_if("active").alias("active_turns"),
         F.count_if(~F.col("active")).alias("superseded_turns"),
         F.countDistinct("conv_uuid").alias("conversations"),

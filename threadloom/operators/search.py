@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,14 +57,11 @@ def active(segments: DataFrame) -> DataFrame:
 
 
 def search_batch(segments: DataFrame, queries: list[tuple[str, str]], limit: int = 10, filters: Filters = Filters()) -> DataFrame:
-    """query_id, rank and RESULT for each of (query_id, query); one scan for the statistics and one for the hits of each BATCH."""
+    """query_id, rank and RESULT for each of (query_id, query); one scan for the statistics and one for the hits of each BATCH. No queries give no rows."""
     for _, q in queries:
         _check(q, filters.role)
-    parts = [_batch(active(segments), queries[i : i + BATCH], limit, filters) for i in range(0, len(queries), BATCH)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts = [_batch(active(segments), queries[i : i + BATCH], limit, filters) for i in range(0, max(1, len(queries)), BATCH)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _batch(rows: DataFrame, queries: list[tuple[str, str]], limit: int, filters: Filters) -> DataFrame:
@@ -98,7 +96,8 @@ def _batch(rows: DataFrame, queries: list[tuple[str, str]], limit: int, filters:
         for t in short:
             ok &= F.contains(low, F.lit(t.translate(str.maketrans(UPPER, LOWER))))
         found.append(F.when(ok, F.struct(F.lit(i).alias("query_id"), score.alias("score"))))
-    kept = counted.where(filters.condition()).withColumn("_hit", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    found = F.array(*found) if found else F.array().cast("array<struct<query_id:string,score:double>>")
+    kept = counted.where(filters.condition()).withColumn("_hit", F.explode(F.filter(found, lambda x: x.isNotNull())))
     out = kept.select(
         F.col("_hit.query_id").alias("query_id"), "id", "turn_id", "conv_uuid", "conv_title", F.col("ts").alias("date"), F.lit(role).alias("role"),
         F.col(column).alias("text"), F.col("_hit.score").alias("score"), "source", "source_id", "ordinal",
