@@ -25,7 +25,7 @@ def similarity(a, b):
 
 def kept_ids(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r.doc_id for r in simhash.keep_one(docs).collect()}
+    return {r.doc_id for r in nearcopies.keep_one(docs).collect()}
 
 
 def least_of_components(texts):
@@ -65,11 +65,13 @@ def test_unlike_texts_do_not_link(spark):
     assert kept_ids(spark, texts) == {0, 1}
 
 
-@pytest.mark.parametrize("wide", [True, False])
-def test_each_component_keeps_a_row(spark, wide):
+@pytest.mark.parametrize("few", [0, 1 << 18])
+@pytest.mark.parametrize("module", [simhash, nearcopies])
+def test_each_component_keeps_a_row(spark, monkeypatch, module, few):
+    monkeypatch.setattr(simhash.kept_rows, "__defaults__", (few,))
     a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
     rows = [(7, a), (9, a), (7, b), (12, b), (None, c), (None, c)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), wide=wide).collect()
+    kept = module.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(7, a), (7, b), (0, c)])
 
 

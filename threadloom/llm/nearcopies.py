@@ -1,33 +1,43 @@
-"""Near copies of texts by an exact join of their five-word shingles.
+"""Near copies of texts: SimHash candidates and an exact join of five-word shingles.
 
-Two texts link if the sets of their five-word shingles (words in lower case between white space; a text of fewer
-words is one shingle) have a Jaccard similarity of ``SIMILARITY`` or more, whatever their lengths. No link is left
-to chance, and every one is verified on the whole sets; shingles stand as 64-bit hashes.
+Texts link if the sets of their five-word shingles (words in lower case between white space; a text of fewer
+words is one shingle) have a Jaccard similarity of ``SIMILARITY`` or more, whatever their lengths. Every link is
+verified on the whole sets; shingles stand as 64-bit hashes.
 
-Candidates come from prefixes: in any one order of all shingles, two such texts share one of the first
+The first candidates are each text and one other of its component by the tries of ``simhash``, which find fingerprints within two bits. So that no
+pair is missed, others come from prefixes: in any one order of all shingles, two such texts share one of the first
 n - ceil(0.8 n) + 1 of theirs. The order puts those last that are common in a sample, which changes the work, not the
 result. Texts that share a shingle of their prefixes are first compared with one of them each; what that
 links needs no further comparison, so that a large group of near copies isn't expanded into all its pairs. Then all
 pairs of texts that are still in different components are compared, if their lengths and the places of the
 shingle allow the similarity.
 
-Defined results: texts without words link with each other; null texts are empty ones.
+Before sets are compared, candidates must be within ``BITS`` bits by SimHash fingerprints of the sets. Sets of similarity 0.8 differ in ten
+bits on average with a deviation of three, so that one pair in some ten thousand of the shortest texts may be lost here, and one in millions of longer ones.
+
+The texts are read three times, in batches, and never shuffled but for those in candidate pairs. Of every text a fingerprint of each kind and the prefix are written.
+
+Defined results: texts without words link with each other; null texts are empty ones; null and repeated doc_ids, repeated rows and other columns
+are kept or dropped row by row as ``simhash.kept_rows`` says; no documents give none.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_node, materialize, shuffle_partitions, slices
+from . import simhash
+from .common import by_node, materialize, shuffle_partitions, slices, text_column
 from .components import components
-from .decontaminate import _hashes, _rolled
+from .decontaminate import _hashes, _print, _rolled
 
 SHINGLE = 5
 #: Similarity as a fraction, so that it is compared in whole numbers.
 SIMILARITY = (4, 5)
+#: Bits in which the sets' fingerprints may differ.
+BITS = 24
 #: For the order of shingles: one in so many texts at most is looked at, all below SAMPLE; shingles in COMMON of them come last, MOST at most.
 ONE_IN, SAMPLE, COMMON, MOST = 16, 20_000, 8, 200_000
 
@@ -61,47 +71,53 @@ def _possible(n, i, m, j):
     return (p + q) * np.minimum(n - i, m - j) >= p * (n + m)
 
 
+def _distinct(docs: DataFrame) -> DataFrame:
+    """h, text of the different texts of docs."""
+    return docs.select(F.xxhash64(text_column()).alias("h"), text_column().alias("text")).groupBy("h").agg(F.first("text").alias("text"))
+
+
 def _sets(texts: DataFrame) -> DataFrame:
     """h, text to h, own (the shingles)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                own = [shingles(t).view(np.int64) for t in part.column(1).to_pylist()]
-                ends = np.cumsum([0, *map(len, own)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(own)))], ["h", "own"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingles(t) for t in part.column(1).to_pylist()])], ["h", "own"])
 
     return texts.mapInArrow(run, "h long, own array<long>")
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
+
+
 def _each(column: pa.ListArray) -> list[np.ndarray]:
     ends, values = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
     return [values[a:b] for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _common(sets: DataFrame) -> np.ndarray:
-    n = sets.count()
-    some = sets.where(F.pmod(F.xxhash64("h"), F.lit(max(1, min(ONE_IN, n // SAMPLE)))) == 0)
-    found = some.select(F.explode("own").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST)
+def _common(docs: DataFrame) -> np.ndarray:
+    some = docs.where(F.pmod(F.xxhash64(text_column()), F.lit(max(1, min(ONE_IN, docs.count() // SAMPLE)))) == 0)
+    found = _sets(_distinct(some)).select(F.explode("own").alias("s")).groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(MOST)
     return np.sort(np.array([r.s for r in found.select("s").collect()], np.int64).view(np.uint64))
 
 
-def _prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """token, h, place (shingles of the text, and the token's place among them) of each text's prefix."""
-    held = sets.sparkSession.sparkContext.broadcast(common)
+def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
+    """doc_id, h, fp (SimHash of three-word shingles), wide (of the set of five-word ones), n (shingles of the set) and first (its prefix) of every row."""
+    held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
         for batch in batches:
-            # a step at a time, as a long text has many
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                own = _each(part.column(1))
-                first = [prefix(x, held.value) for x in own]
-                count = np.array([len(x) for x in first])
-                place = np.concatenate([(len(x) << 32) + np.arange(len(y)) for x, y in zip(own, first)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(first).view(np.int64)), pa.array(np.repeat(part.column(0).to_numpy(), count)), pa.array(place)], ["token", "h", "place"])
+            for part in slices(batch, "text"):
+                texts = part.column(2).to_pylist()
+                own = [shingles(t) for t in texts]
+                fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
+                wide = np.array([_print(x[None])[0] if len(x) else 0 for x in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(wide), pa.array([len(x) for x in own], pa.int64()), _lists([prefix(x, held.value) for x in own])], ["doc_id", "h", "fp", "wide", "n", "first"])
 
-    return sets.mapInArrow(run, "token long, h long, place long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column()).alias("h"), text_column().alias("text"))
+    return own.mapInArrow(run, "doc_id long, h long, fp long, wide long, n long, first array<long>")
 
 
 def _other_tokens(held) -> np.ndarray:
@@ -114,7 +130,7 @@ def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _groups(prefixes: DataFrame) -> DataFrame:
-    """Tokens that two texts or more share: token, h, place, v (the text to compare h with first, or null), many (three texts or more)."""
+    """prefixes: token, place (shingles of the text, and the token's place among them), h. Tokens that two texts or more share: token, h, place, v (the text to compare h with first, or null), many (three texts or more)."""
     p, q = SIMILARITY
 
     def run(token, place, h):
@@ -139,10 +155,11 @@ def _groups(prefixes: DataFrame) -> DataFrame:
 
 
 def _apart(groups: DataFrame) -> DataFrame:
-    """u, v: pairs of texts of one token that may be similar and have different roots. groups: token, place, h, root."""
+    """u, v: pairs of texts of one token that may be similar and have different roots. groups: token, place, h, wide, root."""
     p, q = SIMILARITY
 
-    def run(token, place, h, root):
+    def run(token, place, h, wide, root):
+        wide = wide.view(np.uint64)  # bits of signed numbers are counted without their sign
         starts, ends = _runs(token)
         n, i = place >> 32, place & 0xFFFFFFFF
         us, vs = [], []
@@ -152,7 +169,7 @@ def _apart(groups: DataFrame) -> DataFrame:
             last = a + np.searchsorted(n[a:b] * p, n[a:b] * q, side="right")
             for x, end in zip(range(a, b), last.tolist()):
                 at = slice(x + 1, end)
-                near = np.flatnonzero((root[at] != root[x]) & _possible(n[x], i[x], n[at], i[at]))
+                near = np.flatnonzero((root[at] != root[x]) & (np.bitwise_count(wide[at] ^ wide[x]) <= BITS) & _possible(n[x], i[x], n[at], i[at]))
                 if len(near):
                     us.append(np.full(len(near), h[x]))
                     vs.append(h[at][near])
@@ -160,30 +177,53 @@ def _apart(groups: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    rows = groups.repartition(shuffle_partitions(groups.sparkSession), "token").sortWithinPartitions("token", "place", "h").select("token", "place", "h", "root")
-    return rows.mapInArrow(by_node(run, _other_tokens, 4), "u long, v long").distinct()
+    rows = groups.repartition(shuffle_partitions(groups.sparkSession), "token").sortWithinPartitions("token", "place", "h").select("token", "place", "h", "wide", "root")
+    return rows.mapInArrow(by_node(run, _other_tokens, 5), "u long, v long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs u, v that have the similarity."""
+def _verified(pairs: DataFrame, docs: DataFrame, few: int = simhash.FEW) -> DataFrame:
+    """The pairs u, v of text hashes that have the similarity. Only texts of pairs are looked at; up to few of their hashes are broadcast, more are joined in a shuffle."""
 
     def run(batches):
         for batch in batches:
             good = [alike(a, b) for a, b in zip(_each(batch.column(2)), _each(batch.column(3)))]
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
-    own = lambda c: sets.select(F.col("h").alias(c), F.col("own").alias("of_" + c))
-    return pairs.join(own("u"), "u").join(own("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
-
-
-def roots(docs: DataFrame, text: Column) -> DataFrame:
-    """h (xxhash64 of a text), root of every text that is linked to one of a lesser h; others are their own roots."""
-    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("text")).groupBy("h").agg(F.first("text").alias("text"))
-    sets = materialize(_sets(texts), "shingles")
-    groups = materialize(_groups(_prefixes(sets, _common(sets))), "groups")
-    first = groups.where("v is not null").select(F.least("h", "v").alias("u"), F.greatest("h", "v").alias("v")).distinct()
-    links = materialize(_verified(first, sets), "near-copies")
-    found = components(links, "links").withColumnRenamed("node", "h")
-    left = groups.where("many").join(found, "h", "left").select("token", "place", "h", F.coalesce("component", "h").alias("root"))
-    links = links.unionByName(_verified(_apart(left).join(first, ["u", "v"], "left_anti"), sets))
-    return components(links, "links").select(F.col("node").alias("h"), F.col("component").alias("root"))
+    pairs = materialize(pairs, "pairs")
+    keys = pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    own = docs.select(F.xxhash64(text_column()).alias("h"), text_column().alias("text")).join(F.broadcast(keys) if 2 * pairs.count() <= few else keys, "h", "left_semi")
+    sets = materialize(_sets(own.groupBy("h").agg(F.first("text").alias("text"))), "shingles")
+    of = lambda c: sets.select(F.col("h").alias(c), F.col("own").alias("of_" + c))
+    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
+
+
+def _ordered(u: str, v: str) -> list:
+    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
+
+
+def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, h (xxhash64 of the text) and more of every row of docs; and h, root of every text that is linked to one of a lesser h: others are their own roots."""
+    rows = materialize(prints(docs, _common(docs)), "prints")
+    texts = materialize(rows.groupBy("h").agg(F.first(F.struct("fp", "wide", "n", "first")).alias("x")).select("h", "x.*"), "texts")
+    # each text with the least of its component by SimHash
+    linked = simhash.rooted(rows.select("doc_id", "fp")).select("fp", "root")
+    linked = texts.select("h", "fp").join(linked, "fp").select("h", "root")
+    linked = linked.join(linked.groupBy("root").agg(F.min("h").alias("v")), "root").where("h <> v").select(F.col("v").alias("u"), F.col("h").alias("v"))
+    tokens = texts.select("h", "n", F.posexplode("first").alias("i", "token")).select("token", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "h")
+    groups = materialize(_groups(tokens), "groups")
+    wide = texts.select("h", "wide")
+    first = groups.where("v is not null").select(*_ordered("h", "v")).unionByName(linked).distinct()
+    of = lambda c: wide.select(F.col("h").alias(c), F.col("wide").alias("of_" + c))
+    first = materialize(first.join(of("u"), "u").join(of("v"), "v").where(F.bit_count(F.col("of_u").bitwiseXOR(F.col("of_v"))) <= BITS).select("u", "v"), "pairs")
+    found = components(_verified(first, docs), "links").withColumnRenamed("node", "h")
+    nodes = wide.join(found, "h", "left").select("h", "wide", F.coalesce("component", "h").alias("root"))
+    left = groups.where("many").select("token", "place", "h").join(nodes, "h")
+    more = _verified(_apart(left).join(first, ["u", "v"], "left_anti"), docs)
+    links = found.select(F.col("h").alias("u"), F.col("component").alias("v")).unionByName(more)
+    return rows, components(links, "links").select(F.col("node").alias("h"), F.col("component").alias("root"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of linked texts, all columns: see simhash.kept_rows."""
+    rows, found = roots(docs)
+    return simhash.kept_rows(docs, rows.select("doc_id", "h").join(found, "h", "left").select("doc_id", "h", F.coalesce("root", "h").alias("root")))

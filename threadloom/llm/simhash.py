@@ -12,12 +12,7 @@ other 32 bits into nodes of depth 48, which hold 65,536 different leaves at most
 the input. Copies share a leaf, and each node hands on a spanning forest of its links, not
 all pairs.
 
-Near copies of long texts (five-word shingles of similarity 0.8 or more) differ in about ten bits, too
-many for tries without loss. ``wide`` adds links by two fingerprints together: ``WIDE_TRIES`` tries, each
-with its own order of the sixteen nibbles, whose nodes of depth 16 are walked with an error budget of
-``WIDE_RADIUS``; leaves link if this fingerprint and one of five-word shingles differ in ``WIDE_TOTAL`` bits
-or fewer. Texts of fewer than ``WIDE_WORDS`` words have too few shingles for that and link by ``radius`` alone. A pair
-within nine bits meets in one of the tries with a chance of 0.9, within four bits of over 0.999.
+Near copies with more differences are another module's, ``nearcopies``.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero and is linked like any
 other; null doc_ids get a component, whose id is the least id that isn't null in it (null if there is none);
@@ -34,7 +29,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import nearcopies
 from .common import by_node, materialize, shuffle_partitions, slices, text_column
 from .components import components
 
@@ -45,8 +39,8 @@ RADIUS = 2
 HOT = 20_000
 #: Node pairs that are walked at once.
 FRONT = 400_000
-#: For wide links: tries, depth of their nodes, bits of one and of both fingerprints, shingles of the second, and words of a text at least.
-WIDE_TRIES, WIDE_DEPTH, WIDE_RADIUS, WIDE_TOTAL, WIDE_SHINGLE, WIDE_WORDS = 32, 16, 13, 24, 5, 24
+#: Rows of two numbers that are broadcast at most.
+FEW = 1 << 18
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -66,21 +60,17 @@ def fingerprint_of_words(words: list[bytes], shingle: int = SHINGLE) -> int:
     return int(np.packbits(total * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, extra: Column | None = None, wide: bool = False) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed long), other (if wide: a second fingerprint of longer texts, else
-    null) and extra, a long to carry along, of every row."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, extra: Column | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint's bits as a signed long) and extra, a long to carry along, of every row."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                words = [t.encode().lower().split() for t in part.column(1).to_pylist()]
-                fp = np.array([fingerprint_of_words(w, shingle) for w in words], np.uint64).view(np.int64)
-                # as signed numbers, like fp
-                other = [np.uint64(fingerprint_of_words(w, WIDE_SHINGLE)).view(np.int64) if wide and len(w) >= WIDE_WORDS else None for w in words]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), pa.array(other, pa.int64()), part.column(2)], ["doc_id", "fp", "other", "extra"])
+                fp = np.array([fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp), part.column(2)], ["doc_id", "fp", "extra"])
 
     extra = F.lit(None) if extra is None else extra
-    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text"), extra.cast("long").alias("extra")).mapInArrow(run, "doc_id long, fp long, other long, extra long")
+    return docs.select(F.col("doc_id").cast("long"), text_column().alias("text"), extra.cast("long").alias("extra")).mapInArrow(run, "doc_id long, fp long, extra long")
 
 
 def _fixed_first(code: str, block: int, bits: int) -> list[tuple[int, object]]:
@@ -184,161 +174,49 @@ def trie_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     return nodes.repartition(n, "node", "sub").sortWithinPartitions("node", "sub", "code").select("node", "sub", "code", "fp").mapInArrow(run, "u long, v long")
 
 
-def _orders() -> np.ndarray:
-    """For each wide trie an order of the sixteen nibbles."""
-    rng = np.random.default_rng(11)
-    return np.array([rng.permutation(16) for _ in range(WIDE_TRIES)], np.uint64)
-
-
-def reordered(fp: np.ndarray, order: np.ndarray, back: bool = False) -> np.ndarray:
-    """fp (uint64) with its nibbles in another order, or back in their own."""
-    out = np.zeros(len(fp), np.uint64)
-    for k, nibble in enumerate(order):
-        source, target = np.uint64(60 - 4 * k), np.uint64(4) * nibble
-        if not back:
-            source, target = target, source
-        out |= (fp >> source & np.uint64(15)) << target
-    return out
-
-
-def wide_nodes(leaves: DataFrame, hot: int = HOT) -> DataFrame:
-    """leaves: fp, other. node (trie and its first bits), pair, code (bits in the trie's order), other.
-
-    A node of more than hot leaves is dealt into blocks, and each pair of blocks is one task's (pair: -1 where there is one).
-    """
-
-    def run(batches):
-        orders = _orders()
-        for batch in batches:
-            fp, other = batch.column(0).to_numpy().view(np.uint64), batch.column(1)
-            for k, order in enumerate(orders):
-                code = reordered(fp, order)
-                node = (code >> np.uint64(64 - WIDE_DEPTH)).astype(np.int64) * WIDE_TRIES + k
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(code.view(np.int64)), other], ["node", "code", "other"])
-
-    nodes = leaves.select("fp", "other").mapInArrow(run, "node long, code long, other long")
-    blocks = materialize(nodes.groupBy("node").count().where(F.col("count") > hot).select("node", F.ceil(F.col("count") / hot).cast("long").alias("blocks")), "hot-nodes")
-    both = nodes.join(blocks, "node", "left")
-    own = F.pmod(F.xxhash64("code"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    return both.select("node", F.explode(F.coalesce(F.when(F.col("blocks").isNotNull(), pairs), F.array(F.lit(-1).cast("long")))).alias("pair"), "code", "other")
-
-
-def joined(code: np.ndarray, other: np.ndarray, start: np.ndarray, end: np.ndarray, free: int, radius: int, total: int) -> np.ndarray:
-    """The least linked place of each leaf, by a walk like the one above; pairs of nodes that are linked already are left out,
-    so that a group of near copies isn't expanded into all its pairs."""
-    n = len(code)
-    label = np.arange(n)
-
-    def link(a, b):
-        nonlocal label
-        apart = label[a] != label[b]
-        a, b = a[apart], b[apart]
-        far = np.bitwise_count(code[a] ^ code[b])
-        near = (far <= radius) & (far + np.bitwise_count(other[a] ^ other[b]) <= total)
-        if near.any():
-            label = forest(n, label[a[near]], label[b[near]])[label]
-
-    inner = np.ones(n, bool)
-    inner[start] = False
-    after = np.flatnonzero(inner)
-    link(after - 1, after)
-    keep = end - start > 1
-    stack = [(free - 1, start[keep], end[keep], start[keep], end[keep], np.zeros(int(keep.sum()), np.int8))]
-    zeros: dict[int, np.ndarray] = {}
-    while stack:
-        bit, al, ah, bl, bh, e = stack.pop()
-        if len(al) > FRONT:
-            half = len(al) // 2
-            stack += [(bit, *(x[:half] for x in (al, ah, bl, bh, e))), (bit, *(x[half:] for x in (al, ah, bl, bh, e)))]
-            continue
-        single = (ah - al == 1) & (bh - bl == 1)
-        if single.any():
-            link(al[single], bl[single])
-            al, ah, bl, bh, e = (x[~single] for x in (al, ah, bl, bh, e))
-        large = np.flatnonzero((ah - al) + (bh - bl) > 16)
-        if len(large):
-            ends = np.append(label, n)
-            spans = [np.stack((lo[large], hi[large]), 1).ravel() for lo, hi in ((al, ah), (bl, bh))]
-            low, high = ([f.reduceat(ends, x)[::2] for x in spans] for f in (np.minimum, np.maximum))
-            one = (low[0] == high[0]) & (low[1] == high[1]) & (low[0] == low[1])
-            keep = np.ones(len(al), bool)
-            keep[large[one]] = False
-            al, ah, bl, bh, e = (x[keep] for x in (al, ah, bl, bh, e))
-        if not len(al) or bit < 0:
-            continue
-        if bit not in zeros:
-            zeros[bit] = np.concatenate(([0], np.cumsum((code >> np.uint64(bit)) & np.uint64(1) == 0)))
-        z = zeros[bit]
-        am, bm = al + z[ah] - z[al], bl + z[bh] - z[bl]
-        cross = al != bl
-        parts = [(al, am, bl, bm, e), (am, ah, bm, bh, e), (al, am, bm, bh, e + 1), tuple(x[cross] for x in (am, ah, bl, bm, e + 1))]
-        al, ah, bl, bh, e = (np.concatenate(x) for x in zip(*parts))
-        keep = (ah > al) & (bh > bl) & (e <= radius) & ~((al == bl) & (ah - al == 1))
-        stack.append((bit - 1, *(x[keep] for x in (al, ah, bl, bh, e))))
-    return label
-
-
-def wide_links(nodes: DataFrame) -> DataFrame:
-    """u, v: a spanning forest of the wide links within each node."""
-
-    def links(node, pair, code, other):
-        code = code.view(np.uint64)
-        starts = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (pair[1:] != pair[:-1]))))
-        label = joined(code, other.view(np.uint64), starts, np.append(starts[1:], len(node)), 64 - WIDE_DEPTH, WIDE_RADIUS, WIDE_TOTAL)
-        at = np.flatnonzero(label != np.arange(len(node)))
-        u, v = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-        for k, order in enumerate(_orders()):
-            own = node[at] % WIDE_TRIES == k
-            u[own], v[own] = reordered(code[at[own]], order, True), reordered(code[label[at[own]]], order, True)
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-    run = by_node(links, lambda x: np.flatnonzero((x[0] != x[0][-1]) | (x[1] != x[1][-1])), 4)
-    n = shuffle_partitions(nodes.sparkSession)
-    return nodes.repartition(n, "node", "pair").sortWithinPartitions("node", "pair", "code").mapInArrow(run, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT, extra: Column | None = None, wide: bool = False) -> DataFrame:
-    """doc_id, fingerprint, component_id (and extra, if given) of every row of docs. radius: 2 at most; wide: near copies of longer texts link, too."""
-    prints, linked = _rooted(docs, shingle, radius, hot, extra, wide)
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """doc_id, fingerprint, component_id of every row of docs. radius: 2 at most."""
+    prints, linked = _rooted(docs, shingle, radius, hot, None)
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     of = linked.join(least, "root").select("fp", "component_id")
-    carried = ["extra"] if extra is not None else []
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carried)
+    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _rooted(docs: DataFrame, shingle: int, radius: int, hot: int, extra: Column | None, wide: bool) -> tuple[DataFrame, DataFrame]:
-    """The fingerprints of all rows; and fp, least (doc_id) and root (least fingerprint of the component) of each fingerprint."""
+def rooted(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """fp, least (doc_id) and root (least fingerprint of the component) of each fingerprint. prints: doc_id, fp."""
     if not 0 <= radius <= 2:
         raise ValueError("the six tries hold all pairs up to a radius of 2")
-    prints = materialize(fingerprints(docs, shingle, extra, wide), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("other").alias("other"))
-    if wide:
-        distinct = materialize(distinct, "leaves")
-    links = trie_links(trie_nodes(distinct.select("fp"), hot), radius)
-    if wide:
-        links = links.unionByName(wide_links(wide_nodes(distinct.where("other is not null"), hot)))
-    found = components(links, "links")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    found = components(trie_links(trie_nodes(distinct.select("fp"), hot), radius), "links")
     # a component is known by its least fingerprint until the least document of it is found
-    linked = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    return prints, materialize(linked, "roots")
+    return distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+
+
+def _rooted(docs: DataFrame, shingle: int, radius: int, hot: int, extra: Column | None) -> tuple[DataFrame, DataFrame]:
+    prints = materialize(fingerprints(docs, shingle, extra), "fingerprints")
+    return prints, materialize(rooted(prints, radius, hot), "roots")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of docs for each component of fingerprints, all columns: see kept_rows."""
+    prints, linked = _rooted(docs, shingle, radius, HOT, F.xxhash64(text_column()))
+    return kept_rows(docs, prints.join(linked.select("fp", "root"), "fp").select("doc_id", F.col("extra").alias("h"), "root"))
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, wide: bool = True) -> DataFrame:
-    """One row of docs for each component (wide: of texts with a five-word-shingle similarity of 0.8 or more, else of fingerprints within radius), all columns: that of the least doc_id, of rows that share it the one with the least text hash.
+def kept_rows(docs: DataFrame, rows: DataFrame, few: int = FEW) -> DataFrame:
+    """One row of docs for each root, all columns: that of the least doc_id, of rows that share it the one with the least text hash; of a root
+    without any doc_id the row with the least text hash. rows: doc_id, h (xxhash64 of the text), root of every row of docs.
 
-    Of a component without any doc_id the row with the least text hash stays.
+    Up to few rows that go are broadcast, more meet the documents in a shuffle; the result is the same.
     """
-    names = docs.columns
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("_h", F.xxhash64(text_column()))
-    own = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "_h")
-    if wide:
-        found = nearcopies.roots(docs, text_column()).withColumnRenamed("h", "_h")
-        rooted = own.groupBy("_h").agg(F.min("doc_id").alias("doc_id")).join(found, "_h", "left").select("doc_id", "_h", F.coalesce("root", "_h").alias("root"))
-    else:
-        prints, linked = _rooted(docs, shingle, radius, HOT, F.xxhash64(text_column()), False)
-        rooted = prints.join(linked.select("fp", "root"), "fp").select("doc_id", F.col("extra").alias("_h"), "root")
+    none = F.lit(-(2**63))
+    counted = rows.groupBy(F.coalesce("doc_id", none).alias("_d"), F.col("h").alias("_h"), "root").agg(F.count("*").alias("n"))
     # by component, as one doc_id may stand on rows of several
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("x"))
-    kept = least.select(F.coalesce("x.doc_id", F.lit(-(2**63))).alias("_d"), "x._h")
-    return keyed.join(kept, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*names)
+    least = counted.groupBy("root").agg(F.min(F.struct((F.col("_d") == none).alias("none"), "_d", "_h")).alias("x")).select("root", F.col("x._d").alias("_d"), F.col("x._h").alias("_h"), F.lit(True).alias("stays"))
+    marked = counted.join(least, ["root", "_d", "_h"], "left")
+    # rows that repeat an id with its text and stay: all but one of them go
+    marks = materialize(marked.where("stays is null or n > 1").select("_d", "_h", F.col("stays").isNotNull().alias("repeated")), "marks")
+    own = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), none)).withColumn("_h", F.xxhash64(text_column()))
+    met = own.join(F.broadcast(marks) if marks.count() <= few else marks, ["_d", "_h"], "left")
+    once = met.where("repeated").dropDuplicates(["_d", "_h"])
+    return met.where("repeated is null").unionByName(once).select(*docs.columns)
