@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import decontaminate, packing, quality, simhash, toxicity
+from threadloom.llm import decontaminate, nearcopies, packing, quality, toxicity
 from threadloom.llm.common import fold, materialize, table
 
 #: Iterative training, components and packing can't be expressed in SQL.
@@ -31,8 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, near copies of long texts included, the document of the least id stays; of rows that repeat this id, one."""
-    return simhash.keep_one(docs.select(*COLUMNS), wide=True)
+    """Of each group of near-duplicates (five-word-shingle similarity of 0.8 or more) the document of the least id stays; of rows that repeat this id, one."""
+    return nearcopies.keep_one(docs.select(*COLUMNS))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
