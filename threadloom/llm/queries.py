@@ -53,13 +53,13 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_topk, op3_url_filter, op4_p
 
 #: Integer floors and sums, so that both engines give the same rows.
 TOPK_SQL = """
-with good as (
-  select vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v, len(embedding) as n from embeddings
+with good as materialized (
+  select row_number() over () as row, vec_id, [cast(floor(64 * cast(x as double)) as bigint) for x in embedding] as v, len(embedding) as n from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, q.n + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
-  from good q join good c on q.n = c.n and q.vec_id <> c.vec_id where q.vec_id % 20 = 0
-), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+  select q.row, q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(range(1, q.n + 1), lambda i: q.v[i] * c.v[i])) as bigint) as score
+  from good q join good c on q.n = c.n and q.row <> c.row where q.vec_id % 20 = 0
+), r as (select *, row_number() over (partition by row order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
 """
 ORACLE_SQL = {"op2_topk": TOPK_SQL, "op3_url_filter": url_filter.ORACLE_SQL, "op10_licenses": licenses.oracle_sql()}
