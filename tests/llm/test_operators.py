@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from threadloom.llm import components, decontaminate, licenses, lm, packing, quality, simhash, tokenfile, tokens, topk, toxicity, url_filter
+from threadloom.llm import components, licenses, lm, packing, quality, simhash, tokenfile, tokens, topk, toxicity, url_filter
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = [None, "", " \n\t ", "one", "two words", "Ärger  über!\r\n straße…", "x " * 5000, "same text here again", "same text here again", "<|endoftext|> a\tb", "日本語 テスト 😀", "it's I'LL 12 ½ (z)?!"]
@@ -213,29 +213,6 @@ def test_local_search_empties_bins():
         assert sorted(sum(bins, [])) == list(range(80)) and max(n[b].sum() for b in bins) <= 100 and len(bins) <= len(packing.best_fit(n, 100))
 
 
-def test_decontamination_is_brute_force(spark):
-    rng = np.random.default_rng(7)
-    items = [" ".join(f"q{int(x)}" for x in rng.integers(0, 60, n)) for n in (12, 25, 60, 3, 5)] + [None, ""]
-    long = items[2].split()
-    texts = [*ODD, *(prose(rng, 80) for _ in range(10)), "a " * 9 + items[0].upper() + ". more", items[1], "x " + " ".join(long[:30] + ["added"] + long[30:]) + " y", " ".join(long[:30]), "before " + items[3] + " after", items[4] + "!"]
-    docs, bench = documents(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    words = lambda t: decontaminate._words((t or "").lower())
-    want = set()
-    for i, t in enumerate(texts):
-        w = words(t)
-        for k, item in enumerate(map(words, items)):
-            n = min(len(item), len(w))
-            if item and n:
-                best = max(decontaminate.similarity(decontaminate.bag(w[s : s + n]), decontaminate.bag(item)) for s in range(len(w) - n + 1))
-                if best >= 0.8:
-                    want.add((None if i == 1 else i, k, round(best, 9)))
-    got = {(r.doc_id, r.item_id, round(r.similarity, 9)) for r in decontaminate.matches(docs, bench, block=3).collect()}
-    assert got == want and len({k for _, k, _ in want}) == 5
-    clean = decontaminate.clean(docs, bench)
-    assert clean.columns == docs.columns and clean.count() == len(texts) - len({i for i, _, _ in want})
-    assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), bench).count() == 0
-
-
 def test_lm_counts_and_likelihood(spark):
     rng = np.random.default_rng(8)
     texts = [*ODD, *(prose(rng, int(rng.integers(1, 300))) for _ in range(150))]
