@@ -10,7 +10,7 @@ Rows of ``<path>/chunks``: shard (in doc_id order), chunk, first (ids before it
 doc_ids, lengths, control, data; ``<path>/ranks`` holds the ids by rank (never more rows than the vocabulary).
 
 Defined results: a null or empty text is its end id alone; null doc_ids come first; equal doc_ids are all kept, in the order of
-their texts' hashes; no documents give an empty file; other columns are ignored.
+their texts' hashes, and may lie in several ranges; no documents give an empty file; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark import TaskContext
 
-from .common import drop_path, scratch_dir, shuffle_partitions, slices, text_column
+from .common import drop_path, materialize, scratch_dir, shuffle_partitions, slices, text_column
 from .tokens import encoder
 
 END = 0
@@ -58,88 +58,85 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-_IDS = "shard int, chunk int, first long, doc_ids array<long>, lengths array<int>, ids binary"
+_CHUNK = "shard int, chunk int, first long, doc_ids array<long>, lengths array<int>, control binary, data binary"
 
 
 def _tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Chunks of ids in doc_id order."""
+    """doc_id, h (a hash of the text), width (bytes of an id) and ids of every row of docs."""
 
     def run(batches):
-        own, shard = encoder(tokenizer), TaskContext.get().partitionId()
-        end = END.to_bytes(4, "little")
-        state = {"chunk": 0, "first": 0}
-        held: list[tuple[int | None, bytes]] = []
-        total = 0
-
-        def flush():
-            n = [len(x) // 4 for _, x in held]
-            row = [[shard], [state["chunk"]], [state["first"]], [[d for d, _ in held]], [n], [np.frombuffer(b"".join(x for _, x in held), "<u4").astype("<u2" if small else "<u4").tobytes()]]
-            state["chunk"] += 1
-            state["first"] += sum(n)
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], [c.split()[0] for c in _IDS.split(", ")])
-
-        small = own.tokenizer.get_vocab_size() <= 1 << 16
+        own, end = encoder(tokenizer), END.to_bytes(4, "little")
+        width = 2 if own.tokenizer.get_vocab_size() <= 1 << 16 else 4
         for batch in batches:
             for part in slices(batch):
-                ids = part.column(0).to_pylist()
-                for d, x in zip(ids, own.encode_all(part.column(1).to_pylist())):
-                    held.append((d, x + end))
-                    total += len(x) // 4 + 1
-                    if total >= CHUNK:
-                        yield flush()
-                        held.clear()
-                        total = 0
-        if held:
-            yield flush()
-
-    # equal ids go to one range; the range's width is sampled from doc_id
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_column().alias("text"))
-    dealt = own.repartitionByRange(shuffle_partitions(docs.sparkSession), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    return dealt.mapInArrow(run, _IDS)
+                ids = [np.frombuffer(x + end, "<u4").astype(f"<u{width}").tobytes() for x in own.encode_all(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.full(len(ids), width, np.int32)), pa.array(ids, pa.binary())], ["doc_id", "h", "width", "ids"])
 
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column()).alias("h"), text_column().alias("text"))
+    return own.mapInArrow(run, "doc_id long, h long, width int, ids binary")
 
-def _width(total: int, lengths: list[int]) -> str:
-    return "<u2" if total == 2 * sum(lengths) else "<u4"
 
+def _each(batch: pa.RecordBatch):
+    """The ids of each row. batch: width and ids last."""
+    for width, x in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1)):
+        yield np.frombuffer(x.as_py(), f"<u{width}")
 
-def write(docs: DataFrame, path: str, tokenizer: str) -> None:
-    """Writes the token file of docs (doc_id, text) at path."""
-    spark = docs.sparkSession
-    raw = f"{path}/ids"
-    _tokenised(docs, tokenizer).write.option("compression", "zstd").parquet(raw)
-    spark.sparkContext._jvm.System.gc()  # lets Spark remove the shuffled texts
-    ids = spark.read.schema(_IDS).parquet(raw)
 
-    def count(batches):
+def _counts(ids: DataFrame) -> DataFrame:
+    def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for lengths, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = x.as_py()
-                c = np.bincount(np.frombuffer(x, _width(len(x), lengths)))
-                n = max(len(c), len(total))
-                total = np.pad(total, (0, n - len(total))) + np.pad(c, (0, n - len(c)))
+            for x in _each(batch):
+                c = np.bincount(x)
+                if len(c) > len(total):
+                    total = np.pad(total, (0, len(c) - len(total)))
+                total[: len(c)] += c
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
-    counts = ids.select("lengths", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    ranked = [r.id for r in counts.orderBy(F.desc("n"), "id").collect()]  # as many as the vocabulary has, at most
+    return ids.select("width", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+
+
+def write(docs: DataFrame, path: str, tokenizer: str) -> None:
+    """Writes the token file of docs (doc_id, text) at path. Texts are never shuffled, only their ids."""
+    spark = docs.sparkSession
+    raw = f"{path}/ids"
+    _tokenised(docs, tokenizer).write.option("compression", "zstd").parquet(raw)
+    ids = spark.read.schema("doc_id long, h long, width int, ids binary").parquet(raw)
+    ranked = [r.id for r in _counts(ids).orderBy(F.desc("n"), "id").collect()]  # as many as the vocabulary has, at most
     spark.createDataFrame([(k, i) for k, i in enumerate(ranked)], "rank int, id long").coalesce(1).write.parquet(f"{path}/ranks")
     rank_of = np.zeros(max(ranked, default=0) + 1, np.uint32)
     rank_of[ranked] = np.arange(len(ranked))
     table = spark.sparkContext.broadcast(rank_of)
 
-    def code(batches):
+    def chunks(batches):
+        shard = TaskContext.get().partitionId()
+        chunk = first = total = 0
+        held: list[tuple[int | None, np.ndarray]] = []
+
+        def flush():
+            n = [len(x) for _, x in held]
+            control, data = pack(table.value[np.concatenate([x for _, x in held])])
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+            row = [shard, chunk, first, [d for d, _ in held], n, control, data]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds)], [c.split()[0] for c in _CHUNK.split(", ")])
+
         for batch in batches:
-            control, data = [], []
-            for lengths, x in zip(batch.column(4).to_pylist(), batch.column(5)):
-                x = x.as_py()
-                c, d = pack(table.value[np.frombuffer(x, _width(len(x), lengths))])
-                control.append(c)
-                data.append(d)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(control, pa.binary()), pa.array(data, pa.binary())], [*batch.schema.names[:5], "control", "data"])
-
-    ids.mapInArrow(code, _IDS.replace("ids binary", "control binary, data binary")).write.option("compression", "zstd").parquet(f"{path}/chunks")
+            for d, x in zip(batch.column(0).to_pylist(), _each(batch)):
+                held.append((d, x))
+                total += len(x)
+                if total >= CHUNK:
+                    yield flush()
+                    chunk, first, total = chunk + 1, first + total, 0
+                    held.clear()
+        if held:
+            yield flush()
+
+    # rows of one id and text have the same ids, so that a number of each row may part them
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h"), F.col("row")]
+    numbered = ids.withColumn("row", F.monotonically_increasing_id())
+    dealt = numbered.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "width", "ids")
+    dealt.mapInArrow(chunks, _CHUNK).write.option("compression", "zstd").parquet(f"{path}/chunks")
     drop_path(spark, raw)
 
 
@@ -147,7 +144,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, ids (little-endian unsigned 32-bit), n_tokens, ids_crc32 of each document of a token file."""
     ranked = np.array([r.id for r in spark.read.schema("rank int, id long").parquet(f"{path}/ranks").orderBy("rank").collect()], np.uint32)
     table = spark.sparkContext.broadcast(ranked)
-    chunks = spark.read.schema(_IDS.replace("ids binary", "control binary, data binary")).parquet(f"{path}/chunks")
+    chunks = spark.read.schema(_CHUNK).parquet(f"{path}/chunks")
 
     def run(batches):
         for batch in batches:
@@ -171,7 +168,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """Writes a token file in the shared folder and returns what reading it gives, without the ids."""
-    path = f"{scratch_dir(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
+    """Writes a token file in the shared folder and returns what reading it gives, without the ids; the file is removed."""
+    spark = docs.sparkSession
+    path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(docs, path, tokenizer)
-    return read(docs.sparkSession, path).drop("ids")
+    found = materialize(read(spark, path).drop("ids"), "round-trip")
+    drop_path(spark, path)
+    return found
