@@ -235,7 +235,7 @@ def test_forward_recursion_is_the_sum_over_paths():
 
     rng = np.random.default_rng(9)
     norm = lambda x, a: x / x.sum(a, keepdims=True)
-    m = lm.Hmm(norm(rng.random(2), 0), norm(rng.random((2, 2)), 1), norm(rng.random((4, 2)), 0), np.array([0.5, 0.5]))
+    m = lm.Hmm(norm(rng.random(2), 0), norm(rng.random((2, 2)), 1), norm(rng.random((4, 2)), 0))
     seqs = [rng.integers(0, 4, n) for n in (1, 5, 9)]
     for s, got in zip(seqs, m.log10(seqs)):
         p = sum(m.start[z[0]] * m.emit[s[0], z[0]] * np.prod([m.step[a, b] * m.emit[o, b] for a, b, o in zip(z, z[1:], s[1:])]) for z in product((0, 1), repeat=len(s)))

@@ -3,10 +3,12 @@
 The counts of all training words (by 64-bit hash) are gathered by a shuffle and written as a
 table. The ``SYMBOLS`` commonest words are the model's symbols, besides the text's end and one
 symbol for all rarer words; a rarer word's probability is the states' probability of that
-symbol times its add-one share among rarer words. Baum-Welch runs over runs of
-``RUN`` tokens of every training document: each partition adds up its expected counts, which are
+symbol times its add-one share among rarer words. Baum-Welch takes every training document as one sequence, whole:
+it is cut into runs of ``RUN`` tokens that are worked on side by side, each run gives the products of its steps from every state
+before it, and these are chained forwards and backwards, so that every run begins and ends with the vectors of its own document and
+the expected counts are those of whole texts. Each partition adds up its expected counts, which are
 summed by blocks of symbols, first by groups of partitions; the model itself has a bounded size. A whole text's likelihood is
-exact: each run gives the scaled forward vectors from every state before it, and these are chained.
+exact: the same chain with double precision and logarithms.
 
 Counts of at most ``KNOWN`` words are broadcast (a bound of 24 bytes each), all that occur more often than
 some number; the rest of the corpus's words meet their counts in a join.
@@ -147,10 +149,9 @@ class Hmm:
     start: np.ndarray
     step: np.ndarray
     emit: np.ndarray  # symbol, state
-    middle: np.ndarray  # state before a run that doesn't begin a text
 
     def runs(self, sequences: list[np.ndarray]):
-        """Runs of RUN symbols, longest first: symbols, lengths, whether first, sequence."""
+        """Runs of RUN symbols, longest first: symbols, lengths, whether first, sequence, and the order that sorted them."""
         o, size, first, of = [], [], [], []
         for k, x in enumerate(sequences):
             n = -(-len(x) // RUN)
@@ -168,14 +169,55 @@ class Hmm:
         order = np.argsort(-size, kind="stable")
         return o[order], size[order], first[order], of[order], order
 
+    def _ends(self, o, size, first, of, order) -> tuple[np.ndarray, np.ndarray]:
+        """For each run the state distribution before it (given what stands before), and in proportion the probability of what stands after it by its last state."""
+        s, k = len(o), len(self.step)
+        before, after = np.zeros((s, k), np.float32), np.ones((s, k), np.float32)
+        if first.all():
+            return before, after
+        emit, step = self.emit.astype(np.float32), self.step.astype(np.float32)
+        a = np.broadcast_to(np.where(first[:, None, None], self.start.astype(np.float32), step[None]), (s, k, k))
+        through = np.zeros((s, k, k), np.float32)
+        for t in range(RUN):
+            n = int((size > t).sum())
+            if not n:
+                break
+            a = (a[:n] if t == 0 else (a[:n].reshape(n * k, k) @ step).reshape(n, k, k)) * emit[o[:n, t]][:, None]
+            if t % 4 == 3:
+                # one factor for the whole run: its rows stay in proportion
+                a /= a.max((1, 2), keepdims=True)
+            through[:n] = a
+        place = np.argsort(order)  # runs in the order of the texts
+        through, text = through[place].astype(float), of[place]
+        begin = np.searchsorted(text, np.arange(text[-1] + 1))
+        many = np.diff(np.append(begin, s))
+        rank = np.argsort(-many, kind="stable")
+        begin, many = begin[rank], many[rank]
+        norm = lambda x: x / x.sum(1, keepdims=True)
+        v, w = through[begin, 0], np.ones((len(begin), k))
+        left, right = np.zeros((s, k)), np.ones((s, k))
+        for r in range(1, int(many.max())):
+            n = int((many > r).sum())
+            v = norm(v[:n])
+            left[begin[:n] + r] = v
+            v = np.einsum("ni,nij->nj", v, through[begin[:n] + r])
+        for r in range(1, int(many.max())):
+            n = int((many > r).sum())
+            at = begin[:n] + many[:n] - r
+            w = norm(np.einsum("nij,nj->ni", through[at], w[:n]))
+            right[at - 1] = w
+        before[:], after[:] = left[order], right[order]
+        return before, after
+
     def expected(self, sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of emissions, of steps, and of first states (row 0) and of states before later runs (row 1)."""
-        o, size, first, _, _ = self.runs(sequences)
+        """Expected counts of emissions, of steps, and of first states."""
+        o, size, first, of, order = self.runs(sequences)
+        before, after = self._ends(o, size, first, of, order)
         emit, step = self.emit.astype(np.float32), self.step.astype(np.float32)
         s, k = len(o), len(step)
         live = [int((size > t).sum()) for t in range(RUN)]
         alpha, scale, seen = np.zeros((RUN, s, k), np.float32), np.ones((RUN, s), np.float32), []
-        a = np.where(first[:, None], self.start, self.middle @ self.step).astype(np.float32)
+        a = np.where(first[:, None], self.start.astype(np.float32), before @ step)
         for t in range(RUN):
             n = live[t]
             if not n:
@@ -185,22 +227,23 @@ class Hmm:
             scale[t, :n] = a.sum(1)
             a /= scale[t, :n, None]
             alpha[t, :n] = a
-        beta = np.ones((s, k), np.float32)
+        last = alpha[size - 1, np.arange(s)]
+        beta = after / (last * after).sum(1, keepdims=True)
         steps, counts = np.zeros((k, k)), np.zeros((len(emit), k))
         for t in range(len(seen) - 1, -1, -1):
             n = live[t]
             gamma = alpha[t, :n] * beta[:n]
             alpha[t, :n] = gamma / gamma.sum(1, keepdims=True)
             back = seen[t] * beta[:n] / scale[t, :n, None]
+            # alpha[t - 1] still holds the forward vectors; before a first run there is no step
+            steps += ((alpha[t - 1, :n] if t else before).T @ back) * step
             if t:
-                # alpha[t - 1] still holds the forward vectors
-                steps += (alpha[t - 1, :n].T @ back) * step
                 beta[:n] = back @ step.T
         flat = np.concatenate([o[: live[t], t] for t in range(len(seen))])
         gammas = np.concatenate([alpha[t, : live[t]] for t in range(len(seen))])
         for j in range(k):
             counts[:, j] = np.bincount(flat, gammas[:, j], len(emit))
-        return counts, steps, np.stack([alpha[0][first].sum(0), alpha[0][~first].sum(0)])
+        return counts, steps, alpha[0][first].sum(0).astype(float)
 
     def log10(self, sequences: list[np.ndarray]) -> np.ndarray:
         """Exact log10 probabilities of symbol sequences."""
@@ -247,15 +290,14 @@ def begin(words: Words, states: int) -> Hmm:
     emit = share[:, None] * lean
     step = np.full((states, states), 0.1 / states) + 0.9 * np.eye(states)
     even = np.full(states, 1 / states)
-    return Hmm(even, step / step.sum(1, keepdims=True), emit / emit.sum(0), even)
+    return Hmm(even, step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def refined(model: Hmm, counts: np.ndarray, steps: np.ndarray, firsts: np.ndarray) -> Hmm:
     overall = counts.sum(1) + 0.5
     emit = counts + PRIOR * (overall / overall.sum())[:, None]
     step = steps + STEP_PRIOR
-    norm = lambda x: (x + 1) / (x + 1).sum()
-    return Hmm(norm(firsts[0]), step / step.sum(1, keepdims=True), emit / emit.sum(0), norm(counts.sum(0)))
+    return Hmm((firsts + 1) / (firsts + 1).sum(), step / step.sum(1, keepdims=True), emit / emit.sum(0))
 
 
 def _read(part: pa.RecordBatch, column: str) -> list[np.ndarray]:
@@ -280,7 +322,7 @@ def baum_welch(rows: DataFrame, model: Hmm) -> Hmm:
 
     def run(batches):
         m = table.value
-        counts, steps, firsts = np.zeros((size, k)), np.zeros((k, k)), np.zeros((2, k))
+        counts, steps, firsts = np.zeros((size, k)), np.zeros((k, k)), np.zeros(k)
         for batch in batches:
             sequences = _read(batch, "symbols")
             for a, b in _groups(sequences):
@@ -303,7 +345,7 @@ def baum_welch(rows: DataFrame, model: Hmm) -> Hmm:
     if not found:
         return model
     flat = np.concatenate([found[i] for i in range(PARTS)])
-    return refined(model, flat[: size * k].reshape(size, k), flat[size * k : size * k + k * k].reshape(k, k), flat[size * k + k * k :].reshape(2, k))
+    return refined(model, flat[: size * k].reshape(size, k), flat[size * k : size * k + k * k].reshape(k, k), flat[size * k + k * k :])
 
 
 def score_documents(docs: DataFrame, held_out: Column | None = None, states: int = STATES, symbols: int = SYMBOLS, known: int = KNOWN, rounds: int = ROUNDS) -> DataFrame:
