@@ -157,6 +157,9 @@ def test_url_rules(spark):
     assert all(urls[names[i]] == (rule, verdict) for i, rule, verdict, _, _ in got if i is not None and i < 99)
     assert (99, None, "allow", "", "") in got and (0, "example.net/en/", "allow", "a.example.net", "/en/x") in got
     assert url_filter.judge(df.limit(0)).count() == 0
+    long = "http://example.net/" + "a/" * 100_000 + "?q=" + "b" * 100_000
+    many = spark.createDataFrame([(1, long, "x", "y")] * 3 + [(2, None, "x", "y")] * 3, "page_id long, url string, best string, verdict string")
+    assert sorted((r.page_id, r["rule"] or "", r.verdict, len(r.path)) for r in url_filter.judge(many).collect()) == [(1, "net/", "block", 200_001)] * 3 + [(2, "", "allow", 0)] * 3
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])

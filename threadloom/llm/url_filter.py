@@ -79,7 +79,10 @@ def judge(pages: DataFrame, sites: Sequence = SITE_RULES, patterns: Sequence = P
             F.struct(F.col("kind") == "site", F.length("name"), F.col("host_chars"), F.col("verdict") == "block", F.col("name")),
         ).alias("best")
     )
-    out = pages.select("page_id", F.col("url").cast("string").alias("url")).join(best, "url", "left")
+    own = pages.select("page_id", F.col("url").cast("string").alias("url"))
+    # null urls have no rule to meet, and would all meet in one task of the join
+    out = own.where("url is not null").join(best, "url", "left")
+    out = out.unionByName(own.where("url is null"), allowMissingColumns=True)
     return out.select(
         F.col("page_id").cast("long").alias("page_id"),
         host_of(F.col("url")).alias("host"),
@@ -104,7 +107,7 @@ with p as (
     when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
     when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule,
     case
-    when regexp_matches(low, '[./-]casino[./-]') and length('casino') > 0 and not regexp_matches(low, '/malware/download|[./-]free-pills?[./-]|://([^/?#]*\.)?spam-farm\.') then 'casino'
+    when regexp_matches(low, '[./-]casino[./-]') and not regexp_matches(low, '/malware/download|[./-]free-pills?[./-]|://([^/?#]*\.)?spam-farm\.') then 'casino'
     when regexp_matches(low, '/malware/download') then 'malware-download'
     when regexp_matches(low, '[./-]free-pills?[./-]') then 'free-pills'
     when regexp_matches(low, '://([^/?#]*\.)?spam-farm\.') then 'spam-farm'
