@@ -146,13 +146,13 @@ def kind_mapping(spark, d):
 
 def neighbor_windows(spark, d):
     seg = _segments(spark, d)
-    near = recall.neighbours(search_batch(seg, _RECALL, 6), seg)
+    near = recall.neighbours(search_batch(seg, _RECALL, 6), seg, bound=6 * len(_RECALL))
     return near.select("query_id", "rank", "turn_id", F.array_join(F.transform("turns.ordinal", lambda x: x.cast("string")), ",").alias("ordinals"), F.array_join("turns.turn_id", ",").alias("turn_ids"))
 
 
 def recall_packed(spark, d):
     seg = _segments(spark, d)
-    return recall.windows(search_batch(seg, _RECALL, 6), seg, 600).select("query_id", "rank", "turn_id", "cost", "state")
+    return recall.windows(search_batch(seg, _RECALL, 6), seg, 600, bound=6 * len(_RECALL)).select("query_id", "rank", "turn_id", "cost", "state")
 
 
 def recall_block(spark, d):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_text, sha256, stable_json, turn_text
 
 GAP_SECONDS = 300
+SLICE_SECONDS = 86_400
 KINDS = {80: "system", 7: "rich", 4: "file", 25: "reply", 99: "transfer"}
 SEGMENT_COLUMNS = (
     "turn_id", "source", "source_id", "source_key", "content_hash", "source_msg_ids", "msg_ids", "conv_uuid", "conv_title", "ts", "ts_start", "ts_end",
@@ -78,10 +79,21 @@ def turns(messages: DataFrame) -> DataFrame:
 
 
 def session_ordinals(messages: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
-    """Numbers sessions: one begins where more than gap seconds passed since the message before. messages: also epoch (whole seconds)."""
-    w = Window.partitionBy("source", "conv_uuid").orderBy("epoch", "pos")
+    """Numbers sessions: one begins where more than gap seconds passed since the message before. messages: also epoch (whole seconds).
+
+    A conversation is numbered in slices of time, each by itself, so that a long one isn't one task's; what the slices before add comes from
+    a row for each slice.
+    """
+    own = ("source", "conv_uuid", "slice")
+    w = Window.partitionBy(*own).orderBy("epoch", "pos")
     begins = F.coalesce(F.col("epoch") - F.lag("epoch").over(w) > gap, F.lit(False)).cast("int")
-    return messages.withColumn("begins", begins).withColumn("ordinal", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("begins")
+    sliced = messages.withColumn("slice", F.floor(F.col("epoch") / SLICE_SECONDS)).withColumn("begins", begins)
+    sliced = sliced.withColumn("within", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+    slices = sliced.groupBy(*own).agg(F.min("epoch").alias("first"), F.max("epoch").alias("last"), F.max("within").alias("n"))
+    v = Window.partitionBy("source", "conv_uuid").orderBy("slice")
+    opens = F.coalesce(F.col("first") - F.lag("last").over(v) > gap, F.lit(False)).cast("int")
+    slices = slices.withColumn("opens", opens).select(*own, (F.sum(F.col("opens") + F.col("n")).over(v.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    return sliced.join(slices, list(own)).withColumn("ordinal", (F.col("before") + F.col("within")).cast("int")).drop("slice", "within", "before")
 
 
 def spans(messages: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from ..functions.text import clip, estimate_tokens
 from .search import Filters, active, search_batch
 
 BUDGET, LIMIT, RADIUS = 2400, 6, 1
+#: Hits that are broadcast at most.
+MAX_HITS = 10_000
 HEADER = "Archived recall"
 ADVICE = "\nTreat every block as a lead, not a fact."
 START_COST = max(1, (len(HEADER + ADVICE) + 3) // 4)
@@ -16,12 +18,14 @@ LEAST_TOKENS = LEAST_CHARS = 120
 _TURN = ("ordinal", "turn_id", "ts", "source", "human_text", "assistant_text", "full_text", "speaker_spans")
 
 
-def neighbours(hits: DataFrame, segments: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """hits (query_id, rank, RESULT) with turns: the active segments of the same conversation up to radius ordinals away, in order."""
+def neighbours(hits: DataFrame, segments: DataFrame, radius: int = RADIUS, bound: int | None = None) -> DataFrame:
+    """hits (query_id, rank, RESULT) with turns: the active segments of the same conversation up to radius ordinals away, in order.
+    bound: no more hits than that, if it is known."""
     near = active(segments).select(F.col("source").alias("_s"), F.col("conv_uuid").alias("_c"), F.struct(*_TURN).alias("_t"))
-    # at most limit hits a query: the small side, which Spark broadcasts by its size
+    if bound is not None and bound <= MAX_HITS:
+        hits = F.broadcast(hits)
     on = (hits.source == near._s) & (hits.conv_uuid == near._c) & near["_t.ordinal"].between(hits.ordinal - radius, hits.ordinal + radius)
-    return hits.join(near, on).groupBy(*hits.columns).agg(F.sort_array(F.collect_list("_t")).alias("turns"))
+    return near.join(hits, on).groupBy(*hits.columns).agg(F.sort_array(F.collect_list("_t")).alias("turns"))
 
 
 def _section(title: str, text: Column) -> Column:
@@ -59,13 +63,13 @@ def trimmed(turns: Column, turn_id: Column, tokens: Column) -> Column:
     return F.array(F.struct(center.ordinal.alias("ordinal"), center.turn_id.alias("turn_id"), center.ts.alias("ts"), center.source.alias("source"), human.alias("human_text"), assistant.alias("assistant_text"), full.alias("full_text"), spans.alias("speaker_spans")))
 
 
-def windows(hits: DataFrame, segments: DataFrame, budget: int = BUDGET, radius: int = RADIUS) -> DataFrame:
+def windows(hits: DataFrame, segments: DataFrame, budget: int = BUDGET, radius: int = RADIUS, bound: int | None = None) -> DataFrame:
     """query_id, rank, turn_id, turn_ids, cost, block, short_block, state (covered, packed, trimmed, skipped) of each hit's window.
 
     Hits that an accepted window before them covers are left out; the others are packed by
     rank as long as they fit; if the first doesn't, it is trimmed and packing ends.
     """
-    near = neighbours(hits, segments, radius)
+    near = neighbours(hits, segments, radius, bound)
     hit = {c: F.col(c) for c in ("date", "conv_title", "conv_uuid", "turn_id", "score")}
     short = trimmed(F.col("turns"), F.col("turn_id"), F.lit(max(budget - START_COST, LEAST_TOKENS)))
     near = near.withColumn("block", block(F.col("turns"), hit)).withColumn("short_block", block(short, hit)).withColumn("turn_ids", F.col("turns.turn_id"))
@@ -97,7 +101,7 @@ def recall_batch(segments: DataFrame, queries: list[tuple[str, str]], *, limit:
     """query_id, block: the rendered recall of each query."""
     spark = segments.sparkSession
     hits = search_batch(segments, queries, limit, filters)
-    kept = windows(hits, segments, token_budget, neighbor_radius).where("state in ('packed', 'trimmed')")
+    kept = windows(hits, segments, token_budget, neighbor_radius, limit * len(queries) if limit >= 0 else None).where("state in ('packed', 'trimmed')")
     text = F.when(F.col("state") == "trimmed", F.col("short_block")).otherwise(F.col("block"))
     blocks = kept.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", text.alias("t")))), lambda x: x.t), "\n\n").alias("found"))
     asked = spark.createDataFrame(queries, "query_id string, query string")
