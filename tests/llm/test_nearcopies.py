@@ -81,3 +81,14 @@ def test_short_near_copies_link(spark):
         base = [f"s{k}x{i}" for i in range(n)]
         texts += [" ".join(base), " ".join([*base, *(f"tail{i}" for i in range(more))] if more else [*base[:-1], "last"])]
     assert kept_ids(spark, texts) == {0, 2, 4, 6}
+
+
+def test_parities_bound_what_sets_share():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n = int(rng.choice([1, 5, 40, 150, 600]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.concatenate((a[rng.random(len(a)) < rng.choice([0.7, 0.9, 1.0])], rng.integers(0, 2**63, int(rng.integers(0, n // 4 + 2)), dtype=np.uint64) * np.uint64(2))))
+        odd = np.bitwise_count(nearcopies.parities(a).view(np.uint64) ^ nearcopies.parities(b).view(np.uint64)).sum()
+        assert odd <= len(np.setxor1d(a, b))
+        assert nearcopies._sharing(len(a), len(b), int(odd)) or not nearcopies.alike(a, b)

@@ -12,7 +12,8 @@ links needs no further comparison, so that a large group of near copies isn't ex
 pairs of texts that are still in different components are compared, if their lengths and the places of the
 shingle allow the similarity.
 
-Before sets are compared, candidates must be within ``BITS`` bits by SimHash fingerprints of the sets. Sets of similarity 0.8 differ in ten
+Before sets are compared, candidates must pass two signatures. The parities of a set's counts in 256 classes of shingles bound what two sets
+can share from above, so that no similar pair is lost; they tell short texts apart, such as copies of one text that were changed in different places. And candidates must be within ``BITS`` bits by SimHash fingerprints of the sets. Sets of similarity 0.8 differ in ten
 bits on average with a deviation of three, so that one pair in some ten thousand of the shortest texts may be lost here, and one in millions of longer ones.
 
 The texts are read three times, in batches, and never shuffled but for those in candidate pairs. Of every text a fingerprint of each kind and the prefix are written.
@@ -36,6 +37,7 @@ from .decontaminate import _hashes, _print, _rolled
 SHINGLE = 5
 #: Similarity as a fraction, so that it is compared in whole numbers.
 SIMILARITY = (4, 5)
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Bits in which the sets' fingerprints may differ.
 BITS = 24
 #: For the order of shingles: one in so many texts at most is looked at, all below SAMPLE; shingles in COMMON of them come last, MOST at most.
@@ -65,6 +67,17 @@ def prefix(own: np.ndarray, common: np.ndarray) -> np.ndarray:
     return own[: n + (-p * n) // q + 1] if n else np.zeros(1, np.uint64)
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """256 bits: whether the number of shingles in each class is odd. As many as differ between two sets stand in one of them only, at least."""
+    return np.packbits(np.bincount(own >> np.uint64(56), minlength=256) & 1).view(np.int64)
+
+
+def _sharing(n, m, odd):
+    """Whether sets of n and m shingles may be similar if odd parities differ."""
+    p, q = SIMILARITY
+    return (p + q) * (n + m - odd) >= 2 * p * (n + m)
+
+
 def _possible(n, i, m, j):
     """Whether texts of n and m shingles may be similar if the first that they share has places i and j."""
     p, q = SIMILARITY
@@ -104,7 +117,7 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
-    """doc_id, h, fp (SimHash of three-word shingles), wide (of the set of five-word ones), n (shingles of the set) and first (its prefix) of every row."""
+    """doc_id, h, fp (SimHash of three-word shingles), wide (of the set of five-word ones), p0 to p3 (its parities), n (shingles of the set) and first (its prefix) of every row."""
     held = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches):
@@ -114,10 +127,12 @@ def prints(docs: DataFrame, common: np.ndarray) -> DataFrame:
                 own = [shingles(t) for t in texts]
                 fp = np.array([simhash.fingerprint(t) for t in texts], np.uint64).view(np.int64)
                 wide = np.array([_print(x[None])[0] if len(x) else 0 for x in own], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fp), pa.array(wide), pa.array([len(x) for x in own], pa.int64()), _lists([prefix(x, held.value) for x in own])], ["doc_id", "h", "fp", "wide", "n", "first"])
+                odd = np.array([parities(x) for x in own])
+                columns = [part.column(0), part.column(1), *(pa.array(x) for x in (fp, wide, *odd.T.copy())), pa.array([len(x) for x in own], pa.int64()), _lists([prefix(x, held.value) for x in own])]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "h", "fp", "wide", *PARITIES, "n", "first"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_column()).alias("h"), text_column().alias("text"))
-    return own.mapInArrow(run, "doc_id long, h long, fp long, wide long, n long, first array<long>")
+    return own.mapInArrow(run, "doc_id long, h long, fp long, wide long, p0 long, p1 long, p2 long, p3 long, n long, first array<long>")
 
 
 def _other_tokens(held) -> np.ndarray:
@@ -129,37 +144,50 @@ def _runs(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.append(starts[1:], len(token))
 
 
-def _groups(prefixes: DataFrame) -> DataFrame:
-    """prefixes: token, place (shingles of the text, and the token's place among them), h. Tokens that two texts or more share: token, h, place, v (the text to compare h with first, or null), many (three texts or more)."""
-    p, q = SIMILARITY
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """prefixes: token, place (shingles of the text, and the token's place among them), h. Tokens that two texts or more share, with size, the number of these."""
 
     def run(token, place, h):
         starts, ends = _runs(token)
-        size = ends - starts
-        shared = np.repeat(size > 1, size)
-        many = np.repeat(size > 2, size)[shared]
+        size = np.repeat(ends - starts, ends - starts)
+        kept = size > 1
+        return pa.RecordBatch.from_arrays([pa.array(x[kept]) for x in (token, place, h, size)], ["token", "place", "h", "size"])
+
+    rows = prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "token").sortWithinPartitions("token").select("token", "place", "h")
+    return rows.mapInArrow(by_node(run, _other_tokens, 3), "token long, place long, h long, size long")
+
+
+def _headed(groups: DataFrame) -> DataFrame:
+    """u, v: each text of a token with the one to compare it with first: of those whose lengths allow the similarity the most central one, whose own prefix is shared most.
+    Of a group of copies that is the text they were made of rather than one of them."""
+    p, q = SIMILARITY
+
+    def run(token, central, h, place):
+        starts, ends = _runs(token)
         n, i = place >> 32, place & 0xFFFFFFFF
-        head = np.repeat(starts, size)
-        for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-            # texts by length: the next one that is too long for the head becomes a head
-            while a < b:
-                end = a + int(np.searchsorted(n[a:b] * p, n[a] * q, side="right"))
-                head[a:end] = a
-                a = end
-        good = (head != np.arange(len(h))) & (n * p <= n[head] * q) & _possible(n, i, n[head], i[head])
-        v = pa.array(h[head][shared], mask=~good[shared])
-        return pa.RecordBatch.from_arrays([pa.array(token[shared]), pa.array(h[shared]), pa.array(place[shared]), v, pa.array(many)], ["token", "h", "place", "v", "many"])
+        head = np.repeat(starts, ends - starts)
+        rest = np.flatnonzero((n * p > n[head] * q) | (n[head] * p > n * q))
+        while len(rest):  # those that are too long or too short for the first get a head among themselves
+            first = np.concatenate(([True], token[rest][1:] != token[rest][:-1]))
+            head[rest] = rest[np.maximum.accumulate(np.where(first, np.arange(len(rest)), 0))]
+            rest = rest[(n[rest] * p > n[head[rest]] * q) | (n[head[rest]] * p > n[rest] * q)]
+        good = np.flatnonzero((head != np.arange(len(h))) & _possible(n, i, n[head], i[head]))
+        pairs = np.stack((h[good], h[head[good]]), 1)
+        pairs = np.unique(np.sort(pairs, 1), axis=0) if len(pairs) else pairs
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    rows = prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "token").sortWithinPartitions("token", "place", "h").select("token", "place", "h")
-    return rows.mapInArrow(by_node(run, _other_tokens, 3), "token long, h long, place long, v long, many boolean")
+    central = groups.groupBy("h").agg((-F.sum("size")).alias("central"))
+    rows = groups.join(central, "h").repartition(shuffle_partitions(groups.sparkSession), "token").sortWithinPartitions("token", "central", "h")
+    return rows.select("token", "central", "h", "place").mapInArrow(by_node(run, _other_tokens, 4), "u long, v long")
 
 
 def _apart(groups: DataFrame) -> DataFrame:
-    """u, v: pairs of texts of one token that may be similar and have different roots. groups: token, place, h, wide, root."""
+    """u, v: pairs of texts of one token that may be similar and have different roots. groups: token, place, h, wide, PARITIES, root."""
     p, q = SIMILARITY
 
-    def run(token, place, h, wide, root):
-        wide = wide.view(np.uint64)  # bits of signed numbers are counted without their sign
+    def run(token, place, h, wide, root, *odd):
+        # bits of signed numbers are counted without their sign
+        wide, odd = wide.view(np.uint64), np.stack([x.view(np.uint64) for x in odd], 1)
         starts, ends = _runs(token)
         n, i = place >> 32, place & 0xFFFFFFFF
         us, vs = [], []
@@ -170,6 +198,7 @@ def _apart(groups: DataFrame) -> DataFrame:
             for x, end in zip(range(a, b), last.tolist()):
                 at = slice(x + 1, end)
                 near = np.flatnonzero((root[at] != root[x]) & (np.bitwise_count(wide[at] ^ wide[x]) <= BITS) & _possible(n[x], i[x], n[at], i[at]))
+                near = near[_sharing(n[x], n[at][near], np.bitwise_count(odd[at][near] ^ odd[x]).sum(1))]
                 if len(near):
                     us.append(np.full(len(near), h[x]))
                     vs.append(h[at][near])
@@ -177,8 +206,8 @@ def _apart(groups: DataFrame) -> DataFrame:
         pairs = np.unique(np.stack((np.minimum(u, v), np.maximum(u, v)), 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
-    rows = groups.repartition(shuffle_partitions(groups.sparkSession), "token").sortWithinPartitions("token", "place", "h").select("token", "place", "h", "wide", "root")
-    return rows.mapInArrow(by_node(run, _other_tokens, 5), "u long, v long").distinct()
+    rows = groups.repartition(shuffle_partitions(groups.sparkSession), "token").sortWithinPartitions("token", "place", "h").select("token", "place", "h", "wide", "root", *PARITIES)
+    return rows.mapInArrow(by_node(run, _other_tokens, 5 + len(PARITIES)), "u long, v long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, few: int = simhash.FEW) -> DataFrame:
@@ -197,28 +226,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, few: int = simhash.FEW) -> Data
     return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "of_u", "of_v").mapInArrow(run, "u long, v long")
 
 
-def _ordered(u: str, v: str) -> list:
-    return [F.least(u, v).alias("u"), F.greatest(u, v).alias("v")]
-
-
 def roots(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """doc_id, h (xxhash64 of the text) and more of every row of docs; and h, root of every text that is linked to one of a lesser h: others are their own roots."""
     rows = materialize(prints(docs, _common(docs)), "prints")
-    texts = materialize(rows.groupBy("h").agg(F.first(F.struct("fp", "wide", "n", "first")).alias("x")).select("h", "x.*"), "texts")
+    texts = materialize(rows.groupBy("h").agg(F.first(F.struct("fp", "wide", *PARITIES, "n", "first")).alias("x")).select("h", "x.*"), "texts")
     # each text with the least of its component by SimHash
     linked = simhash.rooted(rows.select("doc_id", "fp")).select("fp", "root")
     linked = texts.select("h", "fp").join(linked, "fp").select("h", "root")
     linked = linked.join(linked.groupBy("root").agg(F.min("h").alias("v")), "root").where("h <> v").select(F.col("v").alias("u"), F.col("h").alias("v"))
     tokens = texts.select("h", "n", F.posexplode("first").alias("i", "token")).select("token", (F.shiftleft("n", 32) + F.col("i")).alias("place"), "h")
-    groups = materialize(_groups(tokens), "groups")
-    wide = texts.select("h", "wide")
-    first = groups.where("v is not null").select(*_ordered("h", "v")).unionByName(linked).distinct()
-    of = lambda c: wide.select(F.col("h").alias(c), F.col("wide").alias("of_" + c))
-    first = materialize(first.join(of("u"), "u").join(of("v"), "v").where(F.bit_count(F.col("of_u").bitwiseXOR(F.col("of_v"))) <= BITS).select("u", "v"), "pairs")
+    groups = materialize(_shared(tokens), "groups")
+    prints_of = texts.select("h", "n", "wide", *PARITIES)
+    first = _headed(groups).unionByName(linked).distinct()
+    of = lambda c: prints_of.select(F.col("h").alias(c), F.struct("n", "wide", *PARITIES).alias("of_" + c))
+    far = lambda c: F.bit_count(F.col("of_u")[c].bitwiseXOR(F.col("of_v")[c]))
+    near = (far("wide") <= BITS) & _sharing(F.col("of_u.n"), F.col("of_v.n"), sum((far(c) for c in PARITIES[1:]), far(PARITIES[0])))
+    first = materialize(first.join(of("u"), "u").join(of("v"), "v").where(near).select("u", "v"), "pairs")
     found = components(_verified(first, docs), "links").withColumnRenamed("node", "h")
-    nodes = wide.join(found, "h", "left").select("h", "wide", F.coalesce("component", "h").alias("root"))
-    left = groups.where("many").select("token", "place", "h").join(nodes, "h")
-    more = _verified(_apart(left).join(first, ["u", "v"], "left_anti"), docs)
+    nodes = prints_of.drop("n").join(found, "h", "left").withColumn("root", F.coalesce("component", "h")).drop("component")
+    left = groups.where("size > 2").select("token", "place", "h").join(nodes, "h")
+    more = _verified(_apart(left).distinct().join(first, ["u", "v"], "left_anti"), docs)
     links = found.select(F.col("h").alias("u"), F.col("component").alias("v")).unionByName(more)
     return rows, components(links, "links").select(F.col("node").alias("h"), F.col("component").alias("root"))
 
