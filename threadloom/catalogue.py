@@ -34,8 +34,12 @@ def _messages(spark, d, where=None, **kw):
 
 def _segments(spark, d, where=None, **kw):
     """Turns with id and arrival by conversation and ordinal."""
+    return _placed(assemble.turns(_messages(spark, d, where, **kw)))
+
+
+def _placed(turns: DataFrame) -> DataFrame:
     place = F.substring("conv_uuid", 2, 20).cast("long") * (1 << 32) + F.col("ordinal")
-    return assemble.turns(_messages(spark, d, where, **kw)).withColumn("arrival", place).withColumn("id", place)
+    return turns.withColumn("arrival", place).withColumn("id", place)
 
 
 _TS = "strftime(timestamp '2026-01-01' + to_days(cast(conv_id as integer)) + to_seconds(turn), '%Y-%m-%dT%H:%M:%SZ')"
@@ -220,6 +224,16 @@ def _counts(*versions):
     return run
 
 
+def index_supersede_late_reply(spark, d):
+    """Conversations whose last reply comes with the second load only."""
+    rows = _table(spark, d, "conversations")
+    last = rows.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    early = rows.join(last, "conv_id").where("not (turn = last and role = 'assistant')").drop("last")
+    stored, _ = merge.upsert(spark.createDataFrame([], SCHEMA), _placed(assemble.turns(conversation_messages(early))).drop("id"))
+    stored = materialize(stored, "segments")
+    return merge.action_counts(merge.decide(materialize(_segments(spark, d), "incoming"), stored.where("active")))
+
+
 def status_summary(spark, d):
     return merge.status(_loaded(spark, d, {}, _edit())[0])
 
@@ -285,6 +299,7 @@ QUERIES |= {
     "index_reload_noop": _counts(dict, dict),
     "index_supersede_edit": _counts(dict, _edit),
     "index_supersede_overlap": _counts(dict, _regenerated),
+    "index_supersede_late_reply": index_supersede_late_reply,
     "status_summary": status_summary,
     "supersede_lineage": supersede_lineage,
     "supersede_regenerated": supersede_regenerated,
@@ -380,6 +395,9 @@ select t.conv_uuid, t.ordinal, ts_start, ts_end, messages, 'turn_' || substr(sha
     "index_reload_noop": f"with {_seg_sql()} select {_N} as turns_seen, cast(0 as bigint) as appended, {_N} as skipped, cast(0 as bigint) as superseded from seg",
     "index_supersede_edit": f"with {_seg_sql()} select {_N} as turns_seen, cast(0 as bigint) as appended, {_N} - {_EDITED} as skipped, {_EDITED} as superseded from seg",
     "index_supersede_overlap": f"with {_seg_sql()} select {_N} as turns_seen, {_REGEN.replace('replies > 0', 'replies = messages')} as appended, {_N} - {_REGEN} as skipped, {_REGEN.replace('replies > 0', 'replies > 0 and replies < messages')} as superseded from seg",
+    "index_supersede_late_reply": f"""with {_seg_sql()}, ends as (select conv_id, arg_max(role, turn) as role from conversations group by 1),
+tail as (select messages, role = 'assistant' and row_number() over (partition by conv_id order by ordinal desc) = 1 as late from seg join ends using (conv_id))
+select {_N} as turns_seen, count(*) filter (late and messages = 1) as appended, count(*) filter (not late) as skipped, count(*) filter (late and messages > 1) as superseded from tail""",
     "status_summary": f"with {_seg_sql()} select {_N} + {_EDITED} as rows_total, {_N} as active_turns, {_EDITED} as superseded_turns, count(distinct conv_uuid) as conversations, cast(1 as bigint) as sources from seg",
     "supersede_lineage": f"with {_seg_sql()} select turn_id, turn_id as new_turn_id, true as new_active, true as changed, true as later from seg where conv_id % 7 = 0",
     "supersede_regenerated": f"""with {_seg_sql()}, again as (select conv_id, ordinal, 'turn_' || substr(sha256('[' || string_agg('["' || conv_uuid || '","' || case when sender = 'assistant' then 'x' else 'm' end || pos || '"]', ',' order by pos) || ']'), 1, 24) as new_turn_id from placed group by all)
