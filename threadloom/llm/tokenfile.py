@@ -84,13 +84,20 @@ def _each(batch: pa.RecordBatch):
 
 def _counts(ids: DataFrame) -> DataFrame:
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total, held, size = np.zeros(0, np.int64), [], 0
+
+        def added():
+            c = np.bincount(np.concatenate(held)) if held else np.zeros(0, np.int64)
+            n = max(len(c), len(total))
+            return np.pad(total, (0, n - len(total))) + np.pad(c, (0, n - len(c)))
+
         for batch in batches:
             for x in _each(batch):
-                c = np.bincount(x)
-                if len(c) > len(total):
-                    total = np.pad(total, (0, len(c) - len(total)))
-                total[: len(c)] += c
+                held.append(x)
+                size += len(x)
+                if size >= CHUNK:  # many documents at once, as the vocabulary is larger than most of them
+                    total, held, size = added(), [], 0
+        total = added()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["id", "n"])
 
