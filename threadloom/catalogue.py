@@ -135,8 +135,8 @@ def messages_normalized(spark, d):
 
 
 def segments_sessionized(spark, d):
-    out = assemble.sessions(event_messages(_table(spark, d, "events")))
-    return out.select("conv_uuid", "ordinal", "ts_start", "ts_end", F.size("msg_ids").alias("messages"), "turn_id", "content_hash", F.array_join("participants", ",").alias("participants"))
+    out = assemble.session_digests(event_messages(_table(spark, d, "events")))
+    return out.select("conv_uuid", "ordinal", "ts_start", "ts_end", "messages", "turn_id", "content_hash", F.array_join("participants", ",").alias("participants"))
 
 
 def speaker_spans(spark, d):

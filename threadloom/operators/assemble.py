@@ -6,6 +6,10 @@ speaker_name, text (normal form), ts (ISO text), kind.
 
 from __future__ import annotations
 
+import hashlib
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,3 +126,65 @@ def sessions(messages: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
     out = out.withColumn("human_text", said("human")).withColumn("assistant_text", said("assistant"))
     spoken = F.filter("speaker_spans", lambda s: s.text != "")
     return _identified(out.withColumn("participants", F.array_distinct(F.transform(spoken, lambda s: s.speaker_id))))
+
+
+class _Digest:
+    """One session's messages, taken in order; only its speakers are held."""
+
+    def __init__(self, key: tuple):
+        self.key, self.messages, self.speakers = key, 0, {}
+        self.ids, self.texts, self.kinds = hashlib.sha256(b"["), None, None
+
+    def add(self, ids: list, senders: list, texts: list, times: list, kinds: list) -> None:
+        if not self.messages:
+            self.start = times[0]
+        self.ids.update((b"," if self.messages else b"") + ",".join(ids).encode())
+        self.messages, self.end = self.messages + len(ids), times[-1]
+        if said := [t for t in texts if t]:
+            self.texts = self._joined(self.texts, said)
+            self.speakers |= dict.fromkeys(s for s, t in zip(senders, texts) if t and s is not None)
+        if not self.texts:
+            self.kinds = self._joined(self.kinds, [f"[{k}]" for k in kinds if k is not None])
+
+    @staticmethod
+    def _joined(done, parts: list):
+        out = done or hashlib.sha256()
+        out.update((b"\n\n" if done and parts else b"") + "\n\n".join(parts).encode())
+        return out if done or parts else None
+
+    def row(self) -> tuple:
+        self.ids.update(b"]")
+        full = self.texts or self.kinds or hashlib.sha256()
+        return *self.key, self.start, self.end, self.messages, f"turn_{self.ids.hexdigest()[:24]}", full.hexdigest(), list(self.speakers)
+
+
+def session_digests(messages: DataFrame, gap: int = GAP_SECONDS) -> DataFrame:
+    """What sessions gives of each session but the texts and lists: its times, number of messages, turn_id, content_hash and participants.
+
+    Messages are sorted by Spark, which spills, and hashed one after another, so that a session of any length takes no more memory than its speakers.
+    """
+    own = ("source", "conv_uuid", "conv_title", "ordinal")
+    types = [pa.string()] * 3 + [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+    names = [*own, "ts_start", "ts_end", "messages", "turn_id", "content_hash", "participants"]
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            columns = [c.to_pylist() for c in batch.columns]
+            keys = list(zip(*columns[: len(own)]))
+            done = []
+            for key, places in groupby(range(len(keys)), keys.__getitem__):
+                places = list(places)
+                if held is None or held.key != key:
+                    done += [held.row()] if held else []
+                    held = _Digest(key)
+                held.add(*(c[places[0] : places[-1] + 1] for c in columns[len(own) :]))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done), types)], names)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(held.row(), types)], names)
+
+    rows = session_ordinals(messages, gap).select(*own, "epoch", "pos", "msg_id", "sender", "text", "ts", "kind")
+    rows = rows.repartition(*own).sortWithinPartitions(*own, "epoch", "pos", "msg_id")
+    rows = rows.select(*own, stable_json(F.array("conv_uuid", "msg_id")).alias("id"), "sender", "text", "ts", "kind")
+    return rows.mapInArrow(run, "source string, conv_uuid string, conv_title string, ordinal int, ts_start string, ts_end string, messages int, turn_id string, content_hash string, participants array<string>")
