@@ -24,22 +24,32 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
+def composed(c: Column) -> Column:
+    """NFC; Python only gets what isn't ASCII."""
+    return F.coalesce(_nfc(F.when(c.rlike("[^\\x00-\\x7f]"), c)), c)
+
+
 def normalize_text(c: Column, compose: bool = True) -> Column:
     """NFC, one kind of line end, no blanks at the ends of lines nor around the whole. compose=False: c is in NFC already."""
     if compose:
-        c = F.coalesce(_nfc(F.when(c.rlike("[^\\x00-\\x7f]"), c)), c)
+        c = composed(c)
     c = F.regexp_replace(c, "\\r\\n?", "\n")
     c = F.regexp_replace(c, f"[{WS}&&[^\\n]]+(?=\\n|\\z)", "")
     return F.regexp_replace(c, f"\\A[{WS}]+|[{WS}]+\\z", "")
 
 
+def _ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def ascii_fold(c: Column) -> Column:
-    return F.translate(c, UPPER, LOWER)
+    return F.when(_ascii(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
 def fold(c: Column) -> Column:
-    """Case folded one character to one character, accents kept."""
-    return F.translate(F.lower(F.translate(c, "İ", "")), _FROM, _TO)
+    """Case folded one character to one character, accents kept. translate, which is slow, only runs where it changes something."""
+    low = F.lower(F.replace(c, F.lit("İ"), F.lit("")))
+    return F.when(_ascii(low) | ~low.rlike(f"[{_FROM}]"), low).otherwise(F.translate(low, _FROM, _TO))
 
 
 def fold_term(term: str) -> str:
@@ -49,7 +59,9 @@ def fold_term(term: str) -> str:
 
 
 def occurrences(c: Column, term: str) -> Column:
-    """Overlapping occurrences of a literal term."""
+    """Overlapping occurrences of a literal term. One that can't overlap itself is counted by what its removal leaves."""
+    if term and not any(term.startswith(term[i:]) for i in range(1, len(term))):
+        return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(term), F.lit("")))) / len(term.encode())).cast("int")
     quoted = "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     return F.regexp_count(c, F.lit(f"(?={quoted})"))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text, sha256, stable_json, turn_text
+from ..functions.text import sha256, stable_json, turn_text
 
 GAP_SECONDS = 300
 SLICE_SECONDS = 86_400
@@ -48,8 +48,9 @@ def _identified(df: DataFrame) -> DataFrame:
     )
 
 
-def _joined(parts: Column, compose: bool = False) -> Column:
-    return normalize_text(F.array_join(F.filter(parts, lambda t: t != ""), "\n\n"), compose)
+def _joined(parts: Column) -> Column:
+    """Texts in normal form as one, which is in normal form too."""
+    return F.array_join(F.filter(parts, lambda t: t != ""), "\n\n")
 
 
 def turn_ordinals(messages: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def turns(messages: DataFrame) -> DataFrame:
         return _joined(F.transform(F.filter("msgs", lambda m: m.sender == role), lambda m: m.text))
 
     out = grouped.withColumn("human_text", said("human")).withColumn("assistant_text", said("assistant"))
-    out = out.withColumn("full_text", normalize_text(turn_text(F.col("human_text"), F.col("assistant_text")), False))
+    out = out.withColumn("full_text", turn_text(F.col("human_text"), F.col("assistant_text")))
     first = F.coalesce(F.get(F.filter(F.col("msgs.ts"), lambda t: t != ""), F.lit(0)), F.lit(""))
     out = out.withColumn("ts", first).withColumn("ts_start", F.col("ts")).withColumn("ts_end", F.col("ts"))
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import LOWER, UPPER, ascii_fold, fold, fold_term, occurrences, split_terms
+from ..plans.scratch import materialize
 
 K1, B = 1.2, 0.75
 ROLES = {None: ("full_text", "turn"), "human": ("human_text", "human"), "assistant": ("assistant_text", "assistant")}
@@ -56,25 +57,33 @@ def active(segments: DataFrame) -> DataFrame:
     return segments.where("active") if "active" in segments.columns else segments
 
 
-def search_batch(segments: DataFrame, queries: list[tuple[str, str]], limit: int = 10, filters: Filters = Filters()) -> DataFrame:
-    """query_id, rank and RESULT for each of (query_id, query); one scan for the statistics and one for the hits of each BATCH. No queries give no rows."""
+def search_batch(segments: DataFrame, queries: list[tuple[str, str]], limit: int = 10, filters: Filters = Filters(), texts: bool = True) -> DataFrame:
+    """query_id, rank and RESULT for each of (query_id, query); one scan for the statistics and one for the hits of each BATCH. No queries give no rows.
+
+    texts=False: without text, by one scan for both, whose counts are written once.
+    """
     for _, q in queries:
         _check(q, filters.role)
-    parts = [_batch(active(segments), queries[i : i + BATCH], limit, filters) for i in range(0, max(1, len(queries)), BATCH)]
+    parts = [_batch(active(segments), queries[i : i + BATCH], limit, filters, texts) for i in range(0, max(1, len(queries)), BATCH)]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _batch(rows: DataFrame, queries: list[tuple[str, str]], limit: int, filters: Filters) -> DataFrame:
+def _batch(rows: DataFrame, queries: list[tuple[str, str]], limit: int, filters: Filters, texts: bool) -> DataFrame:
     column, role = ROLES[filters.role]
     split = {i: split_terms(q) for i, q in queries}
     terms = list(dict.fromkeys(fold_term(t) for long, _ in split.values() for t in long))
+    brief = list(dict.fromkeys(t.translate(str.maketrans(UPPER, LOWER)) for _, short in split.values() for t in short))
     searched = [column] if filters.role else list(TEXTS)
-    counted = rows
+    low = ascii_fold(F.col(column))
+    counted = rows.withColumn("_in", F.array(*(F.contains(low, F.lit(t)) for t in brief)) if brief else F.lit(None).cast("array<boolean>"))
+    result = [c for c in RESULT if texts or c != "text"]
     if terms:
         folded = counted.withColumns({f"_{c}": fold(F.col(c)) for c in searched})
         tf = [sum((occurrences(F.col(f"_{c}"), t) for c in searched[1:]), occurrences(F.col(f"_{searched[0]}"), t)) for t in terms]
         dl = sum((F.greatest(F.lit(0), F.length(c) - 2) for c in TEXTS[1:]), F.greatest(F.lit(0), F.length(TEXTS[0]) - 2))
         counted = folded.withColumn("_tf", F.array(*tf)).withColumn("_dl", dl)
+        if not texts:
+            counted = materialize(counted.select("id", "turn_id", "conv_uuid", "conv_title", "ts", "source", "source_id", "ordinal", "_in", "_tf", "_dl"), "counted")
         hits = [F.count_if(F.col("_tf")[k] > 0).alias(f"n{k}") for k in range(len(terms))]
         stats = counted.agg(F.count("*").alias("rows"), F.avg("_dl").alias("avgdl"), *hits).first()
         idf = []
@@ -84,7 +93,6 @@ def _batch(rows: DataFrame, queries: list[tuple[str, str]], limit: int, filters:
             idf.append(x if x > 0 else 1e-6)
         length = K1 * (1 - B) + K1 * B * F.col("_dl") / float(stats["avgdl"] or 1.0)
     found = []
-    low = ascii_fold(F.col(column))
     for i, q in queries:
         long, short = split[i]
         ok, score = F.lit(True), F.lit(0.0)
@@ -94,19 +102,19 @@ def _batch(rows: DataFrame, queries: list[tuple[str, str]], limit: int, filters:
             ok &= n > 0
             score += F.lit(idf[k]) * n * (K1 + 1) / (n + length)
         for t in short:
-            ok &= F.contains(low, F.lit(t.translate(str.maketrans(UPPER, LOWER))))
+            ok &= F.col("_in")[brief.index(t.translate(str.maketrans(UPPER, LOWER)))]
         found.append(F.when(ok, F.struct(F.lit(i).alias("query_id"), score.alias("score"))))
     found = F.array(*found) if found else F.array().cast("array<struct<query_id:string,score:double>>")
     kept = counted.where(filters.condition()).withColumn("_hit", F.explode(F.filter(found, lambda x: x.isNotNull())))
     out = kept.select(
         F.col("_hit.query_id").alias("query_id"), "id", "turn_id", "conv_uuid", "conv_title", F.col("ts").alias("date"), F.lit(role).alias("role"),
-        F.col(column).alias("text"), F.col("_hit.score").alias("score"), "source", "source_id", "ordinal",
+        *([F.col(column).alias("text")] if texts else []), F.col("_hit.score").alias("score"), "source", "source_id", "ordinal",
     )
     # scores that differ by rounding only are ties
     order = [F.round("score", 9).desc(), F.desc("date"), F.asc("id")]
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
     out = out.withColumn("rank", rank)
-    return (out if limit < 0 else out.where(F.col("rank") <= limit)).select("query_id", "rank", *RESULT)
+    return (out if limit < 0 else out.where(F.col("rank") <= limit)).select("query_id", "rank", *result)
 
 
 def search(segments: DataFrame, query: str, *, limit: int = 10, after=None, before=None, role=None, conv=None, source=None) -> DataFrame:

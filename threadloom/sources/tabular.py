@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_text
+from ..functions.text import composed, normalize_text
 from ..operators.assemble import iso_from_epoch, kind_of
 
 
 def conversation_messages(rows: DataFrame, text: Column | None = None, msg_id: Column | None = None) -> DataFrame:
     """conv_id, turn, role, text to messages; user is human, and other roles than user and assistant are left out later."""
     day = F.unix_seconds(F.lit("2026-01-01 00:00:00").cast("timestamp"))
-    return rows.select(
+    out = rows.select(
         F.lit("claude").alias("source"),
         F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("conv_uuid"),
         F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")).alias("conv_title"),
         F.col("turn").cast("long").alias("pos"),
         (F.concat(F.lit("m"), F.col("turn").cast("string")) if msg_id is None else msg_id).alias("msg_id"),
         F.when(F.col("role") == "user", "human").otherwise(F.col("role")).alias("sender"),
-        normalize_text(F.col("text") if text is None else text).alias("text"),
+        composed(F.col("text") if text is None else text).alias("text"),
         iso_from_epoch(day + F.col("conv_id") * 86400 + F.col("turn")).alias("ts"),
     )
+    # turns need conversations together anyway; brought together here, a table of few files is normalised by all tasks
+    return out.repartition("conv_uuid").withColumn("text", normalize_text(F.col("text"), False))
 
 
 def event_messages(events: DataFrame) -> DataFrame:
